@@ -62,24 +62,22 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_windows:
     lengths, blocks = _plan(windows, block_windows)
     none = F.array().cast("array<long>")
     base = documents.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.monotonically_increasing_id().alias("row_key"), words_of(F.col("text")).alias("w"))
+    # outer explodes: for the inner kind the optimizer would compute all windows once more, to filter empty arrays
     base = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     probes = base.select(
         *(f"k_{c}" for c in keep), "row_key", "w", F.size("w").alias("n_words"),
         F.concat(F.array(F.array(F.lit(0).cast("long"))), *(F.array(_window_hashes(F.col("h"), m)) for m in lengths)).alias("by_length"),
     )
-    probes = probes.select("*", F.posexplode("by_length").alias("length_at", "hashes")).drop("by_length")
+    probes = probes.select("*", F.posexplode_outer("by_length").alias("length_at", "hashes")).drop("by_length")
     lengths_of = F.array(*(F.lit(m) for m in [0, *lengths]))
-    probes = probes.select("*", F.posexplode("hashes").alias("start", "hash")).drop("hashes").withColumn("n_probe", F.get(lengths_of, F.col("length_at")))
+    probes = probes.select("*", F.posexplode_outer("hashes").alias("start", "hash")).drop("hashes").withColumn("n_probe", F.get(lengths_of, F.col("length_at")))
     parts = []
     for block in range(blocks):
         part = windows.where(F.pmod("window_hash", F.lit(blocks)) == block) if blocks > 1 else windows
-        met = probes.join(
-            F.broadcast(part),
-            (F.col("hash") == F.col("window_hash")) & (F.col("n_probe") == F.col("n_window")) & (F.slice("w", F.col("start") + 1, F.greatest("n_probe", F.lit(1))) == F.col("window_words")),
-            "left",
-        )
-        # the marker of length 0 never meets a window and keeps documents without hits
-        met = met.where(F.col("window_words").isNotNull() | ((F.col("n_probe") == 0) & F.lit(block == 0)))
+        met = probes.join(F.broadcast(part), (F.col("hash") == F.col("window_hash")) & (F.col("n_probe") == F.col("n_window")), "left")
+        # a probe that met a window's hash is verified word by word; the marker of length 0 keeps documents without hits
+        verified = F.col("window_words").isNotNull() & (F.slice("w", F.col("start") + 1, F.greatest("n_probe", F.lit(1))) == F.col("window_words"))
+        met = met.where(verified | ((F.col("n_probe") == 0) & F.lit(block == 0)))
         parts.append(met.select(*(f"k_{c}" for c in keep), "row_key", "n_words", F.when(F.col("n_probe") > 0, F.struct("start", F.col("n_probe").alias("length"))).alias("hit"), "window_items"))
     rows = parts[0]
     for part in parts[1:]:
