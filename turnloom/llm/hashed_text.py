@@ -61,7 +61,7 @@ class Piece(NamedTuple):
     inner: bool
 
 
-def pieces(offsets: np.ndarray) -> Iterator[Piece]:
+def pieces(offsets: np.ndarray, overlap: int = OVERLAP) -> Iterator[Piece]:
     """Whole documents together, and a long one in parts of its own."""
     n, k = len(offsets) - 1, 0
     while k < n:
@@ -69,7 +69,7 @@ def pieces(offsets: np.ndarray) -> Iterator[Piece]:
         if stop - begin > PIECE:
             for a in range(begin, stop, PIECE):
                 b = min(a + PIECE, stop)
-                yield Piece(a, b, min(b + OVERLAP, stop), k, np.array([a, b]), a > begin)
+                yield Piece(a, b, min(b + overlap, stop), k, np.array([a, b]), a > begin)
             k += 1
             continue
         j = max(int(np.searchsorted(offsets, begin + PIECE, "right")) - 1, k + 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
+from . import ann, decontaminate, mixing, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=400, keep_bytes=False)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     allotted = mixing.allot(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return allotted.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_shard": op4_shard,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
     "op7_secrets": op7_secrets,
     "op8_ann": op8_ann,
