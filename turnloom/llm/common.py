@@ -49,12 +49,10 @@ def small_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+#: Rows of a side that may be broadcast: with two or three numbers each under 200 MB. Larger sides are shuffled.
+BROADCAST_ROWS = 2_000_000
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a narrow, materialised side for broadcast if its counted rows are within the limit; else leaves it."""
+    return F.broadcast(df) if df.count() <= limit else df

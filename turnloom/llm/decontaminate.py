@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, broadcast_if_small, materialise
 
 #: What separates words, after lower-casing A to Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,7 +113,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, remov
     """The documents without contaminated rows (``remove="documents"``) or without hit words (``"spans"``).
 
     A row is found again by its doc_id and the hash of its text, both null-safe. A removed span goes with the
-    separators before its words; the rest of the text stays as it was.
+    separators before its words; the rest of the text stays as it was. The rows that were hit are written first, narrow,
+    and broadcast if they are few; only otherwise are whole documents shuffled.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
@@ -121,6 +122,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, remov
     found = hits(tagged, benchmark, n, block_windows, keep=("doc_id", "text_hash")).where(F.size("hit_windows") > 0)
     found = found.groupBy(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).agg(F.first("hit_windows").alias("bad_windows"))
     meets = documents["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(documents["text"]) == F.col("bad_hash"))
+    found = broadcast_if_small(materialise(found if remove == "spans" else found.drop("bad_windows"), "hit-rows"))
     if remove == "documents":
         return documents.join(found, meets, "left_anti")
     pieces = F.regexp_extract_all("text", F.lit(CASED_PIECE), F.lit(0))

@@ -24,6 +24,9 @@ _WORD[:48] = _WORD[58:65] = _WORD[91:97] = _WORD[123:128] = False
 #: Bytes of words as white space separates them.
 NOT_SPACE = ~_SPACE
 
+#: The bucket of word pairs that repeat a word.
+ECHO = 0
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -85,11 +88,11 @@ def _scatter(h: np.ndarray, salt: int, bits: int) -> np.ndarray:
         return ((h * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] = (), prefixes: tuple[int, ...] = (), word_bytes: np.ndarray = _WORD, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] = (), prefixes: tuple[int, ...] = (), word_bytes: np.ndarray = _WORD, lower: bool = True, echoes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document, bucket, byte where it starts) of all features, one kind at a time.
 
-    Kinds: byte n-grams within a document, words, and word prefixes of so many bytes. A word counts by its first
-    ``OVERLAP`` bytes.
+    Kinds: byte n-grams within a document, words, word prefixes of so many bytes and, with ``echoes``, the one bucket of
+    all word pairs that repeat a word, once per byte of it. A word counts by its first ``OVERLAP`` bytes.
     """
     a, starts = piece.start, piece.doc_starts
     data = raw[a : piece.readable]
@@ -127,7 +130,12 @@ def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] =
         end = np.minimum(stop[np.searchsorted(stop, at, "right")], at + OVERLAP)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * _power("p", _P, n), dtype=np.uint64)])
         back = _power("inverse", _P_INV, n)[at]
-        yield doc[at], _scatter((total[end] - total[at]) * back, 1001, bits), at + a
+        word = _scatter((total[end] - total[at]) * back, 1001, bits)
+        yield doc[at], word, at + a
+        if echoes:
+            again = 1 + np.flatnonzero((word[1:] == word[:-1]) & (doc[at[1:]] == doc[at[:-1]]))
+            times = (end - at)[again]  # as much as the word's n-grams weigh
+            yield np.repeat(doc[at[again]], times), np.full(times.sum(), ECHO), np.repeat(at[again] + a, times)
         for p in prefixes:
             ok = end - at > p
             yield doc[at[ok]], _scatter((total[at[ok] + p] - total[at[ok]]) * back[ok], 2000 + p, bits), at[ok] + a

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 MIX_COLUMNS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
@@ -34,6 +34,9 @@ MAX_STEPS = 60
 #: Relative error of a source's words at which its tilt stands.
 TOLERANCE = 1e-7
 
+#: Distinct (source, size) pairs that may be broadcast: under 60 MB.
+DEALT_ROWS = 500_000
+
 #: Slices of a (source, size) pair for ranking its documents, so that no pair is sorted in one task.
 SLICES = 64
 
@@ -121,6 +124,11 @@ def round_copies(cells: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFra
     return rated.select("source_key", "size", "n", (F.col("copies") + F.when(F.col("size") == best["at"], F.col("change")).otherwise(0)).alias("copies"))
 
 
+def _source_key(documents: DataFrame | None = None) -> Column:
+    source = F.col("source") if documents is None else documents["source"]
+    return F.struct(source.isNull().alias("is_null"), F.coalesce(source.cast("string"), F.lit("")).alias("name")).alias("source_key")
+
+
 def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
     """The documents with mix_size, mix_source_size, mix_target and mix_copies (0 to cap, a whole number)."""
     if not 0 < share <= cap:
@@ -130,7 +138,7 @@ def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         raise ValueError(f"rename these columns first: {taken}")
     order = F.xxhash64("doc_id", "text")
     sized = documents.withColumns({
-        "source_key": F.struct(F.col("source").isNull().alias("is_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")),
+        "source_key": _source_key(),
         "mix_size": size_of(F.col("text")), "mix_order": order, "mix_slice": F.pmod(order, F.lit(slices)).cast("int"),
     })
     sliced = materialise(sized.groupBy("source_key", F.col("mix_size").alias("size"), "mix_slice").agg(F.count("*").alias("n_slice")), "mix-cells")
@@ -150,6 +158,20 @@ def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mix(documents: DataFrame, **settings) -> DataFrame:
-    """The mixed corpus: the documents' own columns, each row as often as its copies."""
-    allotted = allot(documents, **settings).where(F.col("mix_copies") > 0)
-    return allotted.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).select(*documents.columns)
+    """The mixed corpus: the documents' own columns, each row as often as its copies.
+
+    The copies are dealt on narrow rows. In a (source, size) pair those with one copy more come first in the order of slice
+    and hash, so a pair's last such row tells for each document what it gets, where it is: no text is shuffled. Rows that
+    equal that last one in id and text get the copy too.
+    """
+    slices = settings.get("slices", SLICES)
+    narrow = allot(documents.select("doc_id", "source", "text"), **settings).select(_source_key(), "mix_size", "mix_copies", F.xxhash64("doc_id", "text").alias("mix_order"))
+    place = F.struct(F.pmod("mix_order", F.lit(slices)).cast("int").alias("slice"), F.col("mix_order").alias("order"))
+    dealt = narrow.groupBy("source_key", "mix_size").agg(F.min("mix_copies").alias("least"), F.max(F.struct("mix_copies", place.alias("place"))).alias("top"))
+    dealt = dealt.select(F.col("source_key").alias("d_key"), F.col("mix_size").alias("d_size"), "least", F.when(F.col("top.mix_copies") > F.col("least"), F.col("top.place")).alias("last"))
+    dealt = broadcast_if_small(materialise(dealt, "mix-dealt"), DEALT_ROWS)
+    order = F.xxhash64(documents["doc_id"], documents["text"])
+    own = F.struct(F.pmod(order, F.lit(slices)).cast("int").alias("slice"), order.alias("order"))
+    met = documents.join(dealt, (_source_key(documents) == F.col("d_key")) & (size_of(documents["text"]) == F.col("d_size")))
+    copies = F.col("least") + F.when(own <= F.col("last"), 1).otherwise(0)
+    return met.select(*(documents[c] for c in documents.columns), F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("mix_copy")).drop("mix_copy")

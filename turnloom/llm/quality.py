@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words and byte n-grams have learned vectors; a document is their mean, and a softmax over two classes gives its
+Hashed words, byte n-grams and the pair of a word with itself have learned vectors; a document is their mean, and a softmax over two classes gives its
 score. Training is stochastic gradient descent in numpy with per-row AdaGrad steps, over at most ``max_rows`` labelled
 documents in one task. With two classes the score needs one number per bucket (vector times the difference of the two
 output rows), so scoring a text of any length is a gather and a sum.
@@ -24,7 +24,7 @@ BITS = 16
 GRAMS = (2, 3, 4)
 DIM = 16
 EPOCHS = 6
-RATE = 0.3
+RATE = 0.5
 
 #: Labelled rows that training reads at most, chosen by the hash of their id. The model needs no more; the bound is
 #: what keeps training in one task.
@@ -52,7 +52,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     raw, offsets = string_buffers(texts)
     found: list[list[np.ndarray]] = [[] for _ in range(len(offsets) - 1)]
     for piece in pieces(offsets):
-        for doc, bucket, _ in features(raw, piece, BITS, GRAMS, (), NOT_SPACE, False):
+        for doc, bucket, _ in features(raw, piece, BITS, GRAMS, (), NOT_SPACE, False, True):
             cut = np.flatnonzero(np.diff(doc)) + 1
             for d, b in zip(doc[np.concatenate([[0], cut])] if len(doc) else [], np.split(bucket, cut), strict=False):
                 found[d].append(b)
@@ -92,7 +92,7 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS
             if len(buckets):
                 size_of_step = weight * weight * float(back @ back)
                 sum_v[buckets] += size_of_step
-                vectors[buckets] -= (now * 0.1 * weight / np.sqrt(sum_v[buckets]))[:, None] * back[None, :]
+                vectors[buckets] -= (now * 0.5 * weight / np.sqrt(sum_v[buckets]))[:, None] * back[None, :]
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
@@ -123,7 +123,7 @@ def scorer(logits: np.ndarray, bias: float):
         total, count = np.zeros(n), np.zeros(n)
         for piece in pieces(offsets):
             lo, hi = piece.first_doc, piece.first_doc + len(piece.doc_starts) - 1
-            for doc, bucket, _ in features(raw, piece, BITS, GRAMS, (), NOT_SPACE, False):
+            for doc, bucket, _ in features(raw, piece, BITS, GRAMS, (), NOT_SPACE, False, True):
                 total[lo:hi] += np.bincount(doc - lo, logits[bucket], hi - lo)
                 count[lo:hi] += np.bincount(doc - lo, minlength=hi - lo)
         z = bias + total / np.maximum(count, 1)

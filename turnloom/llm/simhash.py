@@ -9,8 +9,8 @@ segment starts a chain in which every run of l segments differs in at most l*t/m
 the first two in at most one bit, and so on. Keys hold the first two segments of each chain; the longer runs are checked
 before the full distance.
 
-Cases. Copies collapse to one fingerprint first. Null texts count as empty; null doc_ids are fingerprinted and take
-their component's id, but are never one. Ties don't arise: the component id is the smallest doc_id.
+Cases. Copies collapse to one fingerprint first. Null texts count as empty; rows with null doc_ids are fingerprinted and
+take their component's id, but are never one; a component of such rows alone has a null id. Ties don't arise: the component id is the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, small_arrow_batches
+from .common import ascii_lower, broadcast_if_small, materialise, small_arrow_batches
 from .components import connected_components
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -40,11 +40,11 @@ def _segments(max_distance: int) -> list[tuple[int, int]]:
 
 
 def with_shingles(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id and ``hashes``: XXH64 (seed 42) of every shingle, as signed longs."""
+    """doc_id, text_hash and ``hashes``: XXH64 (seed 42) of every shingle, as signed longs."""
     tokens = F.array_remove(F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), WORD_SEPARATORS), "")
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
     hashes = F.when(F.size("w") >= words, runs).when(F.size("w") > 0, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.array().cast("array<long>"))
-    return documents.select("doc_id", tokens.alias("w")).select("doc_id", hashes.alias("hashes"))
+    return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens.alias("w")).select("doc_id", "text_hash", hashes.alias("hashes"))
 
 
 def _majority(hashes: pa.Array) -> pa.Array:
@@ -66,10 +66,10 @@ def _majority(hashes: pa.Array) -> pa.Array:
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long, one row per input row."""
+    """doc_id, text_hash and the fingerprint as a signed long, one row per input row."""
     small_arrow_batches(documents.sparkSession)
     majority = F.arrow_udf(_majority, "long")
-    return with_shingles(documents, words).select("doc_id", majority("hashes").alias("fp"))
+    return with_shingles(documents, words).select("doc_id", "text_hash", majority("hashes").alias("fp"))
 
 
 def _keys(fp: Column, segments: list[tuple[int, int]], probe: bool) -> Column:
@@ -174,7 +174,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
-    """doc_id, fp (signed long) and component_id, one row per input row."""
+    """doc_id, text_hash, fp (signed long) and component_id, one row per input row."""
     per_doc = materialise(fingerprints(documents, words), "simhash")
     classes = materialise(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     links = materialise(fingerprint_links(classes.select("fp"), max_distance), "simhash-links")
@@ -182,20 +182,23 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4)
     rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = rooted.join(roots, "root").select(F.col("fp").alias("c_fp"), "component_id")
-    return per_doc.join(final, per_doc["fp"] == final["c_fp"]).select("doc_id", "fp", "component_id")
+    return per_doc.join(final, per_doc["fp"] == final["c_fp"]).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
     """Keeps one document of each component: the row whose doc_id is the component's id.
 
-    Rows without a doc_id stay only where their whole component has none, and then all of them. Of rows that repeat a
-    kept doc_id, one stays.
+    Rows without a doc_id can't be told apart, so they stay. Of rows that repeat a kept doc_id and its text, one stays.
+    What goes is written first, as ids and text hashes, and broadcast if it is little; only otherwise are whole documents
+    shuffled.
     """
-    found = materialise(near_duplicates(documents, words, max_distance), "simhash-found")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("n"))
-    keep = materialise(keep, "simhash-keep")
-    kept = documents.join(keep, documents["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
-    repeated = not keep.where((F.col("n") > 1) & F.col("keep_id").isNotNull()).isEmpty()
-    if not repeated:
+    found = materialise(near_duplicates(documents, words, max_distance).where(F.col("doc_id").isNotNull()), "simhash-found")
+    gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")), "simhash-gone")
+    of_row = lambda side, a, b: (documents["doc_id"] == side[a]) & (F.xxhash64(documents["text"]) == side[b])
+    kept = documents.join(broadcast_if_small(gone), of_row(gone, "g_id", "g_hash"), "left_anti")
+    again = materialise(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("a_id")).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "simhash-again")
+    if again.isEmpty():
         return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    again = broadcast_if_small(again)
+    met = kept["doc_id"] == again["a_id"]
+    return kept.join(again, met, "left_anti").unionByName(kept.join(again, met, "left_semi").dropDuplicates(["doc_id"]))
