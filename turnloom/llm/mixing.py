@@ -25,6 +25,7 @@ from .common import broadcast_if_small, materialise
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 MIX_COLUMNS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+WORKING = ("source_key", "mix_slice", "mix_order", "mix_before", "mix_cell", "mix_n", *MIX_COLUMNS)
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 
@@ -131,11 +132,16 @@ def _source_key(documents: DataFrame | None = None) -> Column:
 
 def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
     """The documents with mix_size, mix_source_size, mix_target and mix_copies (0 to cap, a whole number)."""
-    if not 0 < share <= cap:
-        raise ValueError("the share must be above 0 and at most the cap")
-    taken = [c for c in ("source_key", "size", "mix_slice", "mix_order", "mix_before", "mix_cell", "mix_n", *MIX_COLUMNS) if c in documents.columns]
+    taken = [c for c in WORKING if c in documents.columns]
     if taken:
         raise ValueError(f"rename these columns first: {taken}")
+    return _allotted(documents, weights, share, cap, slices).select(*documents.columns, *MIX_COLUMNS)
+
+
+def _allotted(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
+    """All columns of ``allot`` and its working ones."""
+    if not 0 < share <= cap:
+        raise ValueError("the share must be above 0 and at most the cap")
     order = F.xxhash64("doc_id", "text")
     sized = documents.withColumns({
         "source_key": _source_key(),
@@ -153,8 +159,7 @@ def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     within = W.partitionBy("source_key", "mix_size", "mix_slice").orderBy("mix_order", F.col("doc_id").asc_nulls_last())
     place = F.col("mix_before") + F.row_number().over(within) - 1
     extra = F.when(place < F.col("mix_cell") % F.col("mix_n"), 1).otherwise(0)
-    dealt = sized.join(plan, ["source_key", "mix_size", "mix_slice"]).withColumn("mix_copies", (F.floor(F.col("mix_cell") / F.col("mix_n")) + extra).cast("long"))
-    return dealt.select(*documents.columns, *MIX_COLUMNS)
+    return sized.join(plan, ["source_key", "mix_size", "mix_slice"]).withColumn("mix_copies", (F.floor(F.col("mix_cell") / F.col("mix_n")) + extra).cast("long"))
 
 
 def mix(documents: DataFrame, **settings) -> DataFrame:
@@ -165,7 +170,7 @@ def mix(documents: DataFrame, **settings) -> DataFrame:
     equal that last one in id and text get the copy too.
     """
     slices = settings.get("slices", SLICES)
-    narrow = allot(documents.select("doc_id", "source", "text"), **settings).select(_source_key(), "mix_size", "mix_copies", F.xxhash64("doc_id", "text").alias("mix_order"))
+    narrow = _allotted(documents.select("doc_id", "source", "text"), **settings).select("source_key", "mix_size", "mix_copies", "mix_order")
     place = F.struct(F.pmod("mix_order", F.lit(slices)).cast("int").alias("slice"), F.col("mix_order").alias("order"))
     dealt = narrow.groupBy("source_key", "mix_size").agg(F.min("mix_copies").alias("least"), F.max(F.struct("mix_copies", place.alias("place"))).alias("top"))
     dealt = dealt.select(F.col("source_key").alias("d_key"), F.col("mix_size").alias("d_size"), "least", F.when(F.col("top.mix_copies") > F.col("least"), F.col("top.place")).alias("last"))
