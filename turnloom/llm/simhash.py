@@ -148,6 +148,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
     fingerprints; each pair of blocks is compared in a task of its own and gives a spanning forest, not its pairs.
     """
     segments = _segments(max_distance)
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but a row becomes many keys
     index = distinct.select(F.col("fp").alias("y"), F.posexplode(_keys(F.col("fp"), segments, False)).alias("start", "key"))
     per = [1 + segments[(i + 1) % len(segments)][1] for i in range(len(segments))]
     starts = F.array(*(F.lit(i) for i, k in enumerate(per) for _ in range(k)))
