@@ -53,7 +53,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _parallel_weight(dims: int) -> float:
-    return (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)
+    return max(2.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
 
 
 def _split(x: np.ndarray) -> np.ndarray:

@@ -111,6 +111,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
     small_arrow_batches(documents.sparkSession)
     rows = training_rows(documents, labels, label, folds, fold, max_rows)
     model = rows.coalesce(1).mapInArrow(_fit_task, "logits binary, bias double").first()
+    if model is None:
+        return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(model["logits"], np.float32), float(model["bias"])
 
 

@@ -61,6 +61,15 @@ def presence(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
 
 
+def evidence(in1: np.ndarray, in0: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:
+    """(smoothed log odds, root of the likelihood ratio statistic) of each entry's texts by label."""
+    odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
+    share = n1 / (n1 + n0)
+    both = np.maximum(in1 + in0, 1e-9)
+    ratio = 2 * (in1 * np.log(np.maximum(in1, 1e-9) / (both * share)) + in0 * np.log(np.maximum(in0, 1e-9) / (both * (1 - share))))
+    return odds, np.sqrt(np.maximum(ratio, 0))
+
+
 def induce(texts: pa.Array, labels: np.ndarray, most: int = LEXICON) -> np.ndarray:
     """Buckets of the lexicon: entries far likelier in toxic texts, best first, without near repeats of each other."""
     docs = presence(texts)
@@ -69,9 +78,8 @@ def induce(texts: pa.Array, labels: np.ndarray, most: int = LEXICON) -> np.ndarr
     in1, in0 = np.zeros(size), np.zeros(size)
     for d, y in zip(docs, labels, strict=True):
         (in1 if y else in0)[d] += 1
-    odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    strength = odds / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
-    ok = np.flatnonzero((in1 >= max(3, n1 * 0.005)) & (odds > np.log(8.0)) & (strength > 5))
+    odds, strength = evidence(in1, in0, n1, n0)
+    ok = np.flatnonzero((in1 >= max(3, n1 * 0.005)) & (odds > np.log(8.0)) & (strength > 4.5))
     ok = ok[np.lexsort((ok, -strength[ok]))][:4000]
     place = np.full(size, -1)
     place[ok] = np.arange(len(ok))
@@ -173,9 +181,8 @@ def fit(texts: pa.Array, target: np.ndarray, epochs: int = 30, seed: int = 3) ->
         in1[d] += y
         in0[d] += 1 - y
     n1, n0 = max(1e-6, target.sum()), max(1e-6, (1 - target).sum())
-    odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    strength = odds / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
-    chosen = np.flatnonzero((in1 + in0 >= 4) & (strength > 3.5) & (odds > np.log(5.0)))
+    odds, strength = evidence(in1, in0, n1, n0)
+    chosen = np.flatnonzero((in1 + in0 >= 3) & (strength > 4) & (odds > np.log(5.0)))
     chosen = np.sort(chosen[np.lexsort((chosen, -strength[chosen]))][:4096])
     rng = np.random.default_rng(seed)
     place = np.full(size, -1)
