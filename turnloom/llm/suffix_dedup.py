@@ -40,8 +40,8 @@ GRAM = 64
 #: Bytes after the common gram that quicksort orders; what still agrees goes to a blind trie.
 SHALLOW = 32
 
-#: Distinct contexts of one gram that a task sorts: about 12 MB.
-GROUP = 16_384
+#: Distinct contexts of one gram that a task sorts: about 50 MB of bytes.
+GROUP = 65_536
 
 #: Bits of the filters that keep rows without a partner out of the shuffles: 4 MB each, whatever the input.
 FILTER_BITS = 1 << 25
@@ -306,8 +306,8 @@ def _contexts(length: int, gram: int):
     return rows
 
 
-def _window_rows(length: int):
-    """The hash of each window around an anchor, with its offset."""
+def _window_rows(length: int, located: bool):
+    """A key for each window around an anchor (of its bytes, gram and offset), with one hash of its place or the place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -315,20 +315,29 @@ def _window_rows(length: int):
                 for x in batch.to_pylist():
                     data = np.frombuffer(x["left_bytes"][::-1] + x["right_bytes"], np.uint8)
                     starts = np.arange(0, min(len(x["left_bytes"]), len(data) - length) + 1)
-                    if len(starts):
-                        h = Prefix(data).of(starts, starts + length).view(np.int64)
-                        n = len(starts)
-                        yield pa.RecordBatch.from_pydict({"gram": np.full(n, x["gram"]), "back": (len(x["left_bytes"]) - starts).astype(np.int32), "window": h, "k1": np.full(n, x["k1"]), "k2": np.full(n, x["k2"]), "pos": np.full(n, x["pos"], np.int32)})
+                    if not len(starts):
+                        continue
+                    back = len(x["left_bytes"]) - starts
+                    key = _scatter(Prefix(data).of(starts, starts + length) + (back.astype(np.uint64) + np.uint64(x["gram"] & 0xFFFFFFFFFFFFFFFF)) * _P).view(np.int64)
+                    n = len(starts)
+                    if located:
+                        yield pa.RecordBatch.from_pydict({"key": key, "k1": np.full(n, x["k1"]), "k2": np.full(n, x["k2"]), "pos": np.full(n, x["pos"], np.int32), "back": back.astype(np.int32)})
+                    else:
+                        yield pa.RecordBatch.from_pydict({"key": key, "place": np.full(n, x["place"])})
 
     return rows
 
 
 def _counted(hot: DataFrame, length: int) -> DataFrame:
-    """Spans of the contexts of grams with too many of them for one task, by counting equal windows."""
-    windows = materialise(hot.mapInArrow(_window_rows(length), "gram long, back int, window long, k1 long, k2 long, pos int"), "windows")
-    where = F.struct("k1", "k2", "pos")
-    again = windows.groupBy("gram", "back", "window").agg(F.min(where).alias("a"), F.max(where).alias("b")).where(F.col("a") != F.col("b")).select("gram", "back", "window")
-    met = windows.join(again, ["gram", "back", "window"], "left_semi").groupBy("k1", "k2", "pos").agg(F.max("back").alias("most"), F.min("back").alias("least"))
+    """Spans of the contexts of grams with too many of them for one task, by counting equal windows.
+
+    Windows are counted by two longs each, combined before the shuffle; only those that repeat are looked up.
+    """
+    placed = hot.withColumn("place", F.xxhash64("k1", "k2", "pos")).mapInArrow(_window_rows(length, False), "key long, place long")
+    again = placed.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where(F.col("a") != F.col("b")).select("key")
+    again = materialise(again, "windows")
+    located = hot.mapInArrow(_window_rows(length, True), "key long, k1 long, k2 long, pos int, back int").where(_filter_of(again, "key"))
+    met = located.join(again, "key", "left_semi").groupBy("k1", "k2", "pos").agg(F.max("back").alias("most"), F.min("back").alias("least"))
     return met.select("k1", "k2", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
 
 
