@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, decontaminate, mixing, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
-
-ORACLE: dict[str, str] = {}
