@@ -6,8 +6,8 @@ is one if set in over half the shingles' XXH64 hashes. Fingerprints link at ``ma
 
 Pigeonring: the 64 bits are ``max_distance + 1`` segments on a ring. If two fingerprints differ in at most t bits, some
 segment starts a chain in which every run of l segments differs in at most l*t/m bits: the first segment not at all,
-the first two in at most one bit, and so on. Keys hold the first two segments of each chain; the longer runs are checked
-before the full distance.
+the first two in at most one bit, and so on. Keys hold the first two segments of each chain, or more where fingerprints
+are many; the longer runs are checked before the full distance.
 
 Cases. Copies collapse to one fingerprint first. Null texts count as empty; rows with null doc_ids are fingerprinted and
 take their component's id, but are never one; a component of such rows alone has a null id. Ties don't arise: the component id is the smallest doc_id.
@@ -15,6 +15,8 @@ take their component's id, but are never one; a component of such rows alone has
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,9 @@ WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Index rows that one key may have in the plain join; larger buckets are compared in blocks.
 HOT_KEY = 32
 
+#: Fingerprints that share an index key on average before keys take in another segment.
+BUCKET = 8
+
 #: Fingerprints on each side of one block comparison.
 BLOCK = 512
 
@@ -72,18 +77,36 @@ def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
     return with_shingles(documents, words).select("doc_id", "text_hash", majority("hashes").alias("fp"))
 
 
-def _keys(fp: Column, segments: list[tuple[int, int]], probe: bool) -> Column:
-    """Per segment of the ring the key of its chain of two; for probes with each one-bit change of the second."""
-    keys = []
-    for i, (shift, width) in enumerate(segments):
-        shift2, width2 = segments[(i + 1) % len(segments)]
-        first = F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1)
-        second = F.shiftrightunsigned(fp, shift2).bitwiseAND((1 << width2) - 1)
-        key = F.shiftleft(F.shiftleft(F.lit(i).cast("long"), width) + first, width2) + second
-        keys.append(key)
-        if probe:
-            keys += [key.bitwiseXOR(F.lit(1 << j).cast("long")) for j in range(width2)]
-    return F.array(*keys)
+def _chain_length(n: int, segments: list[tuple[int, int]]) -> int:
+    """Segments in a key: two, or as many as it takes for buckets of ``BUCKET`` fingerprints on average."""
+    for run in range(2, len(segments)):
+        if n <= BUCKET << min(sum(segments[(i + k) % len(segments)][1] for k in range(run)) for i in range(len(segments))):
+            return run
+    return len(segments) - 1
+
+
+def _changes(widths: list[int], t: int, m: int) -> list[int]:
+    """All ways, as masks over a chain's bits, in which it may differ and keep within its budgets."""
+    found = [(0, 0)]  # (mask, bits used)
+    for run, width in enumerate(widths, 1):
+        most = run * t // m
+        found = [((mask << width) | sum(1 << b for b in bits), used + n) for mask, used in found for n in range(most - used + 1) for bits in itertools.combinations(range(width), n)]
+    return [mask for mask, _ in found]
+
+
+def _keyed(distinct: DataFrame, name: str, segments: list[tuple[int, int]], run: int, t: int, probe: bool) -> DataFrame:
+    """(name, start, key): per segment of the ring the key of the chain that starts there; for probes with each change."""
+    m, per_start = len(segments), []
+    for i in range(m):
+        chain = [segments[(i + k) % m] for k in range(run)]
+        key = F.lit(i).cast("long")
+        for shift, width in chain:
+            key = F.shiftleft(key, width) + F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
+        masks = _changes([w for _, w in chain], t, m) if probe else [0]
+        per_start.append(F.transform(F.array(*(F.lit(x).cast("long") for x in masks)), lambda x, key=key: key.bitwiseXOR(x)))
+    # outer explodes: for the inner kind the optimizer would compute all keys once more, to filter empty arrays
+    rows = distinct.select(F.col("fp").alias(name), F.posexplode_outer(F.array(*per_start)).alias("start", "keys"))
+    return rows.select(name, "start", F.explode_outer("keys").alias("key"))
 
 
 def _close(x: Column, y: Column, start: Column, segments: list[tuple[int, int]], t: int) -> Column:
@@ -149,10 +172,9 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
     """
     segments = _segments(max_distance)
     distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but a row becomes many keys
-    index = distinct.select(F.col("fp").alias("y"), F.posexplode(_keys(F.col("fp"), segments, False)).alias("start", "key"))
-    per = [1 + segments[(i + 1) % len(segments)][1] for i in range(len(segments))]
-    starts = F.array(*(F.lit(i) for i, k in enumerate(per) for _ in range(k)))
-    probes = distinct.select(F.col("fp").alias("x"), F.posexplode(_keys(F.col("fp"), segments, True)).alias("at", "key")).select("x", F.get(starts, F.col("at")).alias("p_start"), "key")
+    run = _chain_length(distinct.count(), segments)
+    index = _keyed(distinct, "y", segments, run, max_distance, False)
+    probes = _keyed(distinct, "x", segments, run, max_distance, True).withColumnRenamed("start", "p_start")
     counts = index.groupBy("key", "start").agg(F.count("*").alias("n")).where(F.col("n") > hot_key)
     counts = materialise(counts, "hot-keys")
     hot = counts.select(F.col("key").alias("h_key"), F.col("start").alias("h_start"), "n")
