@@ -103,7 +103,7 @@ def _keyed(distinct: DataFrame, name: str, segments: list[tuple[int, int]], run:
         for shift, width in chain:
             key = F.shiftleft(key, width) + F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
         masks = _changes([w for _, w in chain], t, m) if probe else [0]
-        per_start.append(F.transform(F.array(*(F.lit(x).cast("long") for x in masks)), lambda x, key=key: key.bitwiseXOR(x)))
+        per_start.append(F.transform(F.array(*(F.lit(x).cast("long") for x in masks)), key.bitwiseXOR))
     # outer explodes: for the inner kind the optimizer would compute all keys once more, to filter empty arrays
     rows = distinct.select(F.col("fp").alias(name), F.posexplode_outer(F.array(*per_start)).alias("start", "keys"))
     return rows.select(name, "start", F.explode_outer("keys").alias("key"))
