@@ -26,11 +26,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """A folder of this application in the one that the driver and all executors share; its own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     app = spark.sparkContext.applicationId
+    if named:
+        return f"{named.rstrip('/')}/turnloom-{app}"
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="turnloom-")
     return _own_dir[app]
@@ -44,6 +44,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application materialised; results that read it are void after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_arrow_batches(spark: SparkSession) -> None:
     """Bound what one Python worker holds, as one batch may consist of long texts only."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
