@@ -181,3 +181,33 @@ def test_generation_is_reproducible(spark):
     assert 40 < n < 80 and n == generation.partial_draft(values.repartition(3), "seed", 0.5, ["personal"]).count()
     row = spark.range(1).select(generation.connected(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("c"), generation.option_swap(F.lit("a"), F.array(F.lit("a"), F.lit("b")), F.lit(0.9)).alias("o"), generation.accepted_mutation(F.lit("Abc def"), F.lit(" abc DEF ")).alias("r")).first()
     assert tuple(row) == ("a, b, and c", "b", "unchanged")
+
+
+def test_answers_of_actions(spark):
+    from turnloom.functions.actions import parse_actions
+    from turnloom.operators import cases
+
+    body = '---actions--- [{"type":"ask_choice","question":"Q1","options":["a",{"label":"B","value":"b"}]},{"type":"show_fields","section":"Sec","fields":[{"field_id":"f","entry_index":2},{"field_id":"g"}]},{"type":"show_button","button":"submit"},{"type":"ask_choice","question":"Q2"}]'
+    a = spark.createDataFrame([(body,)], "b string").select(cases.answer_of(parse_actions(F.col("b"))).alias("a")).first()["a"]
+    assert tuple(a["flags"]) == (False, True, True, False, True)
+    assert (a["question"], a["options"], a["summary_title"], a["summary_content"]) == ("Q2", ["a", "B"], "Sec", "f[2] | g")
+
+
+def test_case_rules(spark):
+    from turnloom.operators import cases
+
+    ids = spark.createDataFrame([("p1",), ("p1-v2",), ("legacy-3",)], "test_id string")
+    assert {w: [r[0] for r in cases.subset(ids, w).collect()] for w in ("seeds", "variations", "legacy")} == {"seeds": ["p1"], "variations": ["p1-v2"], "legacy": ["legacy-3"]}
+    configure(spark)
+    row = spark.range(1).select(
+        cases.applied_delta(F.create_map(F.lit("a"), F.lit("0")), F.array(F.struct(F.lit("d.1.x").alias("field_id"), F.lit("9").alias("value")))).alias("d"),
+        cases.sectioned_value(F.array(F.create_map(F.lit("b"), F.lit("1")), F.create_map(F.lit("a"), F.lit("2"))), F.lit("a")).alias("v"), cases.warning_completeness(F.lit(1), F.lit(1), F.lit(1)).alias("w"),
+        cases.record_score(F.lit("x"), F.lit(False), {"x": F.lit(0.7)}).alias("s"),
+    ).first()
+    assert (row["d"], row["v"], row["w"], row["s"]) == ({"a": "0", "d-1-x": "9"}, "2", 50, 0.0)
+    flags = "struct<has_new_data:boolean,needs_choice:boolean,wants_review:boolean,wants_save:boolean,wants_submit:boolean>"
+    kind = f"v struct<test_id:string,source:string,input:string,correct_answer:struct<flags:{flags},field_ids:array<string>,field_values:array<string>>>, seed struct<test_id:string,source:string>"
+    full = (True, True, False, False, False)
+    rows = [(("s-v1", "src", "i", (full, ["a"], ["1"])), ("s", "src")), (("t", "src", "i", (full, ["a"], ["1"])), ("s", "src")), (("s1", "src", "i", ((None,) * 5, [], [])), ("s", "src")), (("s1", "x", "i", (full, ["a"], [])), ("s", "src"))]
+    got = [r[0] for r in spark.createDataFrame(rows, kind).select(cases.variation_fault(F.col("v"), F.col("seed"))).collect()]
+    assert got == [None, "test_id should start with the seed's", "missing flag 'has_new_data'", "field_ids and field_values length mismatch"]
