@@ -75,6 +75,8 @@ def test_awkward_rows_and_no_labels(spark):
         for rows in (quality.score(docs, quality.train(docs, labels), "s").collect(), toxicity.score(docs, toxicity.train(docs, labels), "s").collect()):
             assert len(rows) == len(AWKWARD) and all(0 <= r["s"] <= 1 for r in rows)
             assert len({r["s"] for r in rows if r["doc_id"] in (1, 2)}) == 1
+    clash = docs.selectExpr("*", "1 as label", "2 as votes", "3 as t_id")
+    assert quality.score(clash, quality.train(clash, some)).count() == toxicity.score(clash, toxicity.train(clash, some)).count() == len(AWKWARD)
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), none), "s").collect() == []
 
 

@@ -41,7 +41,7 @@ def test_equals_brute_force(spark, block):
 
 
 def test_removes_documents_and_spans(spark):
-    docs = spark.createDataFrame([(1, "Keep this. One two three! And that.", "a"), (1, "another text", "b"), (2, None, "c")], "doc_id long, text string, hit_windows string")
+    docs = spark.createDataFrame([(1, "Keep this. One two three! And that.", "a", 1), (1, "another text", "b", 2), (2, None, "c", 3)], "doc_id long, text string, hit_windows string, bad_id int")
     items = spark.createDataFrame([(1, "ONE two, three")], "item_id long, text string")
     assert {(r["doc_id"], r["text"]) for r in decontaminate.decontaminate(docs, items).collect()} == {(1, "another text"), (2, None)}
     spans = decontaminate.decontaminate(docs, items, remove="spans")

@@ -75,7 +75,8 @@ def test_awkward_rows(spark):
     hot = spark.createDataFrame([(1, "same text here", "a")] * 500 + [(2, "other", "b")] * 100, "doc_id long, text string, source string")
     taken = sum(r["mix_copies"] * r["mix_size"] for r in mixing.allot(hot).collect() if r["source"] == "a")
     assert abs(taken - 2200) <= 3  # b stops at twice its 100 words
-    with pytest.raises(ValueError):
-        mixing.allot(docs.withColumn("mix_size", docs["doc_id"]))
+    clash = docs.selectExpr("*", "'x' as mix_size", "'y' as mix_copy", "'z' as least", "'w' as d_key")
+    assert [r["mix_size"] for r in mixing.allot(clash).orderBy("text", "doc_id").collect()] == [r["mix_size"] for r in mixing.allot(docs).orderBy("text", "doc_id").collect()]
+    assert mixing.mix(clash).columns == clash.columns and {r["mix_copy"] for r in mixing.mix(clash).collect()} == {"y"}
     with pytest.raises(ValueError):
         mixing.allot(docs, share=3)

@@ -55,6 +55,14 @@ def small_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a side that may be broadcast: with two or three numbers each under 200 MB. Larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 

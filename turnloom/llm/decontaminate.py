@@ -121,12 +121,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, remov
     tagged = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = hits(tagged, benchmark, n, block_windows, keep=("doc_id", "text_hash")).where(F.size("hit_windows") > 0)
     found = found.groupBy(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).agg(F.first("hit_windows").alias("bad_windows"))
-    meets = documents["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(documents["text"]) == F.col("bad_hash"))
     found = broadcast_if_small(materialise(found if remove == "spans" else found.drop("bad_windows"), "hit-rows"))
+    meets = documents["doc_id"].eqNullSafe(found["bad_id"]) & (F.xxhash64(documents["text"]) == found["bad_hash"])
     if remove == "documents":
         return documents.join(found, meets, "left_anti")
-    pieces = F.regexp_extract_all("text", F.lit(CASED_PIECE), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("bad_windows", lambda x: (i >= x["start"]) & (i < x["start"] + x["length"])))
-    tail = F.expr("substring(text, 1 + char_length(array_join(regexp_extract_all(text, r'" + CASED_PIECE + "', 0), '')))")
-    cleaned = documents.join(found, meets, "left").withColumn("text", F.when(F.col("bad_windows").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail)))
-    return cleaned.select(*documents.columns)
+    text, bad = documents["text"], found["bad_windows"]
+    pieces = F.regexp_extract_all(text, F.lit(CASED_PIECE), F.lit(0))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(bad, lambda x: (i >= x["start"]) & (i < x["start"] + x["length"])))
+    tail = text.substr(F.char_length(F.array_join(pieces, "")) + 1, F.char_length(text))
+    cleaned = F.when(bad.isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)).alias("text")
+    return documents.join(found, meets, "left").select(*(cleaned if c == "text" else documents[c] for c in documents.columns))

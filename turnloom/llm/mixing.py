@@ -11,8 +11,8 @@ which keeps the words within half the largest document of the target; then one p
 that brings the source nearer. Copies of a pair are dealt evenly over its documents in the order of their hash.
 
 Cases. A null source is a source of its own and comes last. Null and empty texts have size 0, target nothing and take
-nothing. Repeated rows are documents of their own. Empty tables give empty results; extra columns are kept, and
-those that clash with the working names are refused.
+nothing. Repeated rows are documents of their own. Empty tables give empty results; extra columns are kept,
+but ``allot`` leaves out those that are named like its own or its working columns.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, fresh, materialise
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 MIX_COLUMNS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
@@ -132,10 +132,8 @@ def _source_key(documents: DataFrame | None = None) -> Column:
 
 def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
     """The documents with mix_size, mix_source_size, mix_target and mix_copies (0 to cap, a whole number)."""
-    taken = [c for c in WORKING if c in documents.columns]
-    if taken:
-        raise ValueError(f"rename these columns first: {taken}")
-    return _allotted(documents, weights, share, cap, slices).select(*documents.columns, *MIX_COLUMNS)
+    own = [c for c in documents.columns if c.lower() not in WORKING]
+    return _allotted(documents.select(own), weights, share, cap, slices).select(*own, *MIX_COLUMNS)
 
 
 def _allotted(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
@@ -177,6 +175,7 @@ def mix(documents: DataFrame, **settings) -> DataFrame:
     dealt = broadcast_if_small(materialise(dealt, "mix-dealt"), DEALT_ROWS)
     order = F.xxhash64(documents["doc_id"], documents["text"])
     own = F.struct(F.pmod(order, F.lit(slices)).cast("int").alias("slice"), order.alias("order"))
-    met = documents.join(dealt, (_source_key(documents) == F.col("d_key")) & (size_of(documents["text"]) == F.col("d_size")))
-    copies = F.col("least") + F.when(own <= F.col("last"), 1).otherwise(0)
-    return met.select(*(documents[c] for c in documents.columns), F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("mix_copy")).drop("mix_copy")
+    met = documents.join(dealt, (_source_key(documents) == dealt["d_key"]) & (size_of(documents["text"]) == dealt["d_size"]))
+    copies = dealt["least"] + F.when(own <= dealt["last"], 1).otherwise(0)
+    copy = fresh(documents, "mix_copy")
+    return met.select(*(documents[c] for c in documents.columns), F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(copy)).drop(copy)

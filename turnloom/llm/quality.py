@@ -38,6 +38,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, max_rows: int) -> DataFrame:
     """At most ``max_rows`` rows (doc_id, text, label) outside the held-out fold, the same on every run."""
+    documents = documents.select("doc_id", "text")
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     per_doc = usable.groupBy(F.col("doc_id").alias("t_id")).agg(F.round(F.avg(label)).cast("int").alias("label"))
     known = documents.select(F.col("doc_id").alias("t_id")).distinct()

@@ -10,8 +10,8 @@ Scale: the ring has at most ``arcs`` arcs, so the placement reads that many sums
 within their arc, never within a whole shard.
 
 Cases. Null texts have size 8 and the checksum of an empty text. Null or repeated doc_ids hash like any others; equal
-rows are interchangeable. Empty tables give empty results. ``shard`` keeps all columns of its input, and refuses those
-that clash with the columns it adds.
+rows are interchangeable. Empty tables give empty results. ``shard`` keeps the columns of its input but the text, and
+leaves out those that are named like its own or its working columns.
 """
 
 from __future__ import annotations
@@ -83,10 +83,8 @@ def shard(documents: DataFrame, shards: int = 24, arcs: int = ARCS, virtual_node
     The text itself stays where it is: the result has one row per document and no text.
     """
     spark = documents.sparkSession
-    added = ("size", "text_crc32", "arc", "shard_order", "law", "shard", "slot", "home_shard", "grown_shard")
-    clash = [c for c in documents.columns if c in added]
-    if clash:
-        raise ValueError(f"rename these columns first: {clash}")
+    added = ("size", "text_crc32", "arc", "shard_order", "law", "shard", "slot", "home_shard", "grown_shard", "first_byte", "in_arc", "p_arc", "p_from", "p_to", "o_shard", "o_arc", "o_from", "first_rank", "offset")
+    documents = documents.select([c for c in documents.columns if c.lower() not in added])
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.xxhash64("doc_id")
     narrow = documents.withColumns({

@@ -267,7 +267,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds:
     # the sample for the classifier: bounded, by hash, the same on every run
     order = F.xxhash64("doc_id")
     chosen = votes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("votes").alias("votes")).orderBy(order, "doc_id").limit(fit_rows).select(F.col("doc_id").alias("s_id"), "votes")
-    sample = documents.join(F.broadcast(chosen), documents["doc_id"] == chosen["s_id"]).select(order.alias("order"), "text", "votes").coalesce(1)
+    texts = documents.select("doc_id", "text")
+    sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["s_id"]).select(order.alias("order"), "text", "votes").coalesce(1)
     model = sample.mapInArrow(_fit_task(*believed), "buckets array<long>, weights array<double>, bias double").first()
     if not model:
         return none
