@@ -136,7 +136,8 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
 def index(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text, row_key and ``trigrams``: which trigrams of the vocabulary the text has."""
     words = vocabulary(rules)
-    there = F.filter(F.array(*(F.lit(t) for t in words)) if words else F.array().cast("array<string>"), lambda t: F.contains(F.col("low"), t))
+    # an array of conditions, as a lambda would have the text lower-cased anew for each trigram
+    there = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), t) for t in words)).cast("array<string>"))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row_key"))
     return texts.withColumn("low", F.lower("text")).withColumn("trigrams", there).drop("low")
 
