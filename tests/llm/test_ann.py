@@ -58,3 +58,21 @@ def test_unusable_vectors_take_no_part(spark):
     got = ann.search(docs, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 7), (0, 2, 100), (100, 1, 7), (100, 2, 0)]
     assert ann.search(docs.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_near_copies_and_repeated_ids_leave_no_neighbour_out(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + 0.02 * rng.normal(size=(1000, 64))  # a third are near copies
+    x[1000:1300] = x[2900] + 0.01 * rng.normal(size=(300, 64))
+    ids = np.arange(3000)
+    ids[1000:1300] = 1000  # one id on many rows that are nearest to 2900
+    x = x.astype(np.float32)
+    rows = [(int(i), v.tolist(), "s") for i, v in zip(ids, x, strict=True)]
+    found = ann.search(spark.createDataFrame(rows, SCHEMA).coalesce(1), F.col("vec_id").isin(0, 100, 500, 900, 2900, 2000)).collect()
+    for q in (0, 100, 500, 900, 2900, 2000):
+        want = []
+        for v, _ in exact(ids, x.astype(float), q, 3000):
+            if v not in want:
+                want.append(v)
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == want[:10]
