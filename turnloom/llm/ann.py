@@ -11,8 +11,8 @@ neighbour. The second looks in every other list that may hold a row within that
 list whose rows lie ``low`` to ``high`` from its centre has nothing nearer than d - high or low - d. In a list a query's
 inner products with the 16 centroids of every sub-vector are a table, and a scan adds up table entries by code. The
 part of a row's residual along its quantised vector is known and the rest adds at most the product of both orthogonal
-parts' lengths (Cauchy-Schwarz), so every row that the bound leaves possible, and no other, is ranked by its distance on
-the original vectors. So the result is that of brute force. How many lists the second pass drops depends on the data;
+parts' lengths (Cauchy-Schwarz), so every row that the bound leaves possible, and no other, is ranked on the original
+vectors. So the result is that of brute force. How many lists the second pass drops depends on the data;
 ``probes`` looks into that many nearest lists instead, which bounds the work and may miss neighbours.
 
 Scale. Queries and rows are tables, met by list: a list with many rows or queries is cut into blocks of both, and each
@@ -43,8 +43,9 @@ CENTROIDS = 16
 #: Inner products above this share of the norm's product count; it sets the weight of parallel error.
 THRESHOLD = 0.2
 
-#: Vectors that centres and codebooks are learned from, at most; every row is encoded.
+#: Vectors that centres are learned from, at most, and those of them that codebooks are; every row is encoded.
 SAMPLE = 20_000
+BOOK_ROWS = 4000
 
 #: Rows of a list on average, as long as there are no more than so many lists.
 LIST_ROWS = 2048
@@ -150,8 +151,7 @@ def cluster(x: np.ndarray, lists: int, seed: int = 5, rounds: int = 8) -> np.nda
     for _ in range(rounds):
         at = nearest_centre(x, centres)
         n = np.bincount(at, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
+        sums = np.stack([np.bincount(at, column, len(centres)) for column in x.T], axis=1)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
@@ -169,7 +169,8 @@ def _learn_task(exponent: int, lists: int):
         if parts:
             x = np.ldexp(np.concatenate(parts), -exponent)
             centres = cluster(x, lists)
-            books = learn(x, base=centres[nearest_centre(x, centres)])
+            part = x[:: -(-len(x) // BOOK_ROWS)]
+            books = learn(part, base=centres[nearest_centre(part, centres)])
             flat = pa.list_(pa.float64())
             yield pa.RecordBatch.from_pydict({"centres": pa.array([centres.ravel()], flat), "books": pa.array([books.ravel()], flat), "dims": pa.array([x.shape[1]], pa.int32())})
 
@@ -287,8 +288,12 @@ def _scan(model: Model, k: int, candidates: int):
             rest = np.sqrt(np.maximum(size2 - np.square(product) / length2, 0)) * across
             least = norm2 + size2 - 2 * (product * (1 + along) + rest)
             # the slack covers rounding, the last term numbers too small for their squares
-            could = (least - 1e-9 * (norm2 + size2) <= np.square(limit)[:, None] + 1e-300) & ~own
-            i, j = np.nonzero(could)
+            slack, most = 1e-9 * (norm2 + size2) + 1e-300, np.square(limit)[:, None]
+            could = (least - slack <= most) & ~own
+            some = np.flatnonzero(could.any(axis=0))
+            # what the codes leave is ranked on the vectors: by products first, then those within the limit exactly
+            i, j = np.nonzero(could[:, some] & (norm2[some] + size2 - 2 * y[part] @ x[some].T - slack[:, some] <= most))
+            j = some[j]
             for b in range(0, len(i), 65_536):
                 cut = slice(b, b + 65_536)
                 away = distances(whole[j[cut]], queries[part][i[cut]])
