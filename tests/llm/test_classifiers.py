@@ -94,3 +94,37 @@ def test_parts_of_a_long_text_give_the_features_of_the_whole(monkeypatch):
     whole = all_features()
     monkeypatch.setattr(hashed_text, "PIECE", 97)
     assert all_features() == whole
+
+
+def test_long_runs_are_read_to_their_end(spark, monkeypatch):
+    bases = ["字" * 10, "漢" * 75, "ab" * 120]
+    for base in bases:
+        other = base + "語語xyzw"
+        a, b, c = (set(x.tolist()) for x in toxicity.presence(pa.array([base + "言言opqr", other, other])))
+        assert a != b and b == c
+    # the beginning of a word has one bucket, whether a space or other characters stand before it
+    bad = toxicity.presence(pa.array(["毒言毒語"]))[0]
+    deep = toxicity.presence(pa.array(["字海山川" * 40 + "毒言毒語" + "空風" * 40]))[0]
+    word = toxicity.presence(pa.array(["毒言毒語空風"]))[0]
+    assert len(np.intersect1d(word, deep)) > 0 and len(bad)
+    whole = [x.tolist() for x in toxicity.presence(pa.array(["a " + "字海x" * 90 + " b", "川" * 300]))]
+    monkeypatch.setattr(hashed_text, "PIECE", 97)
+    assert [x.tolist() for x in toxicity.presence(pa.array(["a " + "字海x" * 90 + " b", "川" * 300]))] == whole
+
+
+def test_a_toxic_word_deep_in_a_text_without_spaces(spark):
+    rng = random.Random(5)
+    plain = "日月火水木金土天地人心手足目耳口言行道理春夏秋冬東西南北"
+    docs, labels = [], []
+    for i in range(900):
+        text = "".join(rng.choice(plain) for _ in range(rng.randint(150, 300)))
+        toxic = rng.random() < 0.3
+        if toxic:
+            at = rng.randint(70, 140)
+            text = text[:at] + "畜生" + text[at:]
+        docs.append((i, text))
+        labels.append((i, int(toxic)))
+    docs, labels, truth = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).withColumn("h", quality.held_out(F.col("doc_id"), 5, 0)).where("h").collect()
+    right = [(r["score"] >= 0.5) == truth[r["doc_id"]] for r in rows]
+    assert sum(right) / len(right) > 0.95

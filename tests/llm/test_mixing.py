@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -80,3 +81,20 @@ def test_awkward_rows(spark):
     assert mixing.mix(clash).columns == clash.columns and {r["mix_copy"] for r in mixing.mix(clash).collect()} == {"y"}
     with pytest.raises(ValueError):
         mixing.allot(docs, share=3)
+
+
+def test_small_sources_come_as_near_as_copies_can(spark):
+    rng = random.Random(17)
+    sizes = {f"s{k:02}": [rng.randint(1, 3000) for _ in range(1 + k % 12)] for k in range(24)}
+    sizes["s99"] = [2065, 453, 372, 261, 243, 189, 150, 142, 141, 46]
+    docs = spark.createDataFrame([(1000 * k + j, "w " * n, s) for k, (s, own) in enumerate(sizes.items()) for j, n in enumerate(own)], "doc_id long, text string, source string")
+    want, taken = targets({s: sum(own) for s, own in sizes.items()}), Counter()
+    for r in mixing.allot(docs).collect():
+        assert 0 <= r["mix_copies"] <= 2
+        taken[r["source"]] += r["mix_copies"] * r["mix_size"]
+    for s, own in sizes.items():
+        sums = {0}
+        for n in own:
+            sums = {x + c * n for x in sums for c in range(3)}
+        best = min(abs(x - want[s]) for x in sums)
+        assert abs(taken[s] - want[s]) <= best + min(own), (s, taken[s], want[s], best)

@@ -26,7 +26,9 @@ def brute(t):
 def test_equals_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, spans string")
     kinds = [r.kind for r in RULES]
-    got = {r["doc_id"]: [(s["start"], kinds[s["kind_order"]], s["end"]) for s in r["spans"]] for r in secret_scan.scan(docs).collect()}
+    every = [{r["doc_id"]: [(s["start"], kinds[s["kind_order"]], s["end"]) for s in r["spans"]] for r in secret_scan.scan(docs, broadcast_rows=n).collect()} for n in (100, 0)]
+    assert every[0] == every[1]
+    got = every[0]
     for i, t in enumerate(TEXTS):
         assert [s for s in got[i] if s[1] in ("assign", "access", "hex")] == brute(t), t
     assert any(s[1] == "github" for s in got[7]) and any(s[1] == "private_key" for s in got[8])
@@ -50,5 +52,14 @@ def test_awkward_rows(spark):
     rows = secret_scan.scan(awkward(spark)).collect()
     assert len(rows) == len(AWKWARD) and all(r["spans"] == [] for r in rows)
     assert secret_scan.scan(awkward(spark).limit(0)).collect() == []
-    index = secret_scan.index(spark.createDataFrame([(1, "my TOKEN")], "doc_id long, text string"))
-    assert {r["trigram"] for r in secret_scan.postings(index).collect()} >= {"tok", "oke", "ken"}
+
+
+def test_postings_are_intersected(spark):
+    texts = spark.createDataFrame([(1, "my TOKEN"), (2, "oken tok"), (3, "AKI kia"), (4, "akia"), (4, "akia"), (5, "nothing")], "text_key long, text string")
+    index = secret_scan.postings(texts)
+    assert {r["trigram"] for r in index.where("text_key = 1").collect()} >= {"tok", "oke", "ken"}
+    kinds = [r.kind for r in RULES]
+    got = {r["text_key"]: {k for i, k in enumerate(kinds) if r["c_rules"] >> i & 1} for r in secret_scan.candidates(index).collect()}
+    assert got == {1: {"assign"}, 2: {"assign"}, 3: {"access"}, 4: {"access"}}
+    own = {r["text_key"]: r["b"] for r in secret_scan.with_trigrams(texts).select("text_key", secret_scan.own_rules().alias("b")).collect()}
+    assert {k: {x for i, x in enumerate(kinds) if b >> i & 1} for k, b in own.items() if b} == got

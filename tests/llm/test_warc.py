@@ -52,3 +52,18 @@ def test_seek_table_finds_every_frame(spark):
 def test_empty_table(spark):
     folder, index = warc.write_archive(pages(spark).limit(0))
     assert warc.read_archive(folder, index).collect() == []
+
+
+def test_many_shared_payloads_and_clashing_columns(spark):
+    rows = [(i % 40 if i % 3 else None, f"http://{i}", "same payload " * 20 if i % 2 else f"page {i % 7} " * 30) for i in range(600)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, first_id string, frame int")
+    columns = ("page_id", "record_type", "refers_to", "payload_digest")
+    got = []
+    for n in (1000, 0):
+        decided = warc.decide(table, shared_rows=n).select("page_id", "url", "html", "digest", "record_type", "refers_to")
+        got.append(sorted(map(tuple, decided.collect()), key=str))
+    assert got[0] == got[1] and len(got[0]) == 600
+    folder, index = warc.write_archive(table, frame_bytes=500)
+    read = warc.read_archive(folder, index, read_bytes=2000)
+    assert read.rdd.getNumPartitions() > 3 and read.count() == 600
+    assert {r["refers_to"] for r in read.select(*columns).where("record_type = 'revisit'").collect()} == {min(p for p, _, h in rows if h == x and p is not None) for x in {h for _, _, h in rows}}

@@ -26,11 +26,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in the one that the driver and all executors share; its own only where none is set."""
+    """A folder of this application in the one that the driver and all executors share.
+
+    Only where a local master runs all tasks on this machine may that be a temporary one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if named:
         return f"{named.rstrip('/')}/turnloom-{app}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="turnloom-")
     return _own_dir[app]
@@ -41,13 +47,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this process materialised and has not discarded, oldest first.
+written: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes materialised tables that nothing will read any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in written:
+            written.remove(name)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what this application materialised; results that read it are void after that."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, [shared_dir(spark)])
+    written.clear()
 
 
 def small_arrow_batches(spark: SparkSession) -> None:

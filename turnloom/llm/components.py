@@ -5,38 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, written
 
 #: Star steps converge in about log2 of the nodes squared; the bound only guards against an endless loop.
 MAX_ROUNDS = 60
 
+#: Edges up to which the table of minima, two longs for each node, is broadcast.
+BROADCAST_EDGES = 500_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Parts of a node's edges in the join with its minimum where that is shuffled, so that no centre is one task's.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """The edges (a, b) with m, the minimum of their ``a``: ``least`` is (u, m)."""
+    if few:
+        return edges.join(F.broadcast(least), edges["a"] == least["u"])
+    salted = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.join(salted, (edges["a"] == salted["u"]) & (F.pmod(F.xxhash64("b"), F.lit(SALTS)) == salted["salt"]))
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every larger neighbour of a node links to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least, both["a"] == least["u"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both, least, few).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """A node's smaller neighbours, and the node itself, link to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-    joined = down.join(least, down["a"] == least["u"]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    joined = _with_least(down, least, few).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return joined.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: longs); the label is the component's smallest node.
 
     No star or component is gathered in one place: each step joins edges with minima that were aggregated per node, and
-    writes its edges to the shared folder.
+    writes its edges to the shared folder, in place of those of the step before. A step makes at most two edges of one.
     """
     now = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    last = None
+    last, before, n = None, [], now.count()
     for _ in range(MAX_ROUNDS):
-        now = materialise(_small_star(_large_star(now)), "stars")
+        few = n <= broadcast_edges
+        now = materialise(_small_star(_large_star(now, few), few), "stars")
         state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        n = state[0]
+        discard(now.sparkSession, before)
+        before = written[-1:]
         if state == last:
             break
         last = state

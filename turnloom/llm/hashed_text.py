@@ -92,7 +92,8 @@ def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] =
     """(document, bucket, byte where it starts) of all features, one kind at a time.
 
     Kinds: byte n-grams within a document, words, word prefixes of so many bytes and, with ``echoes``, the one bucket of
-    all word pairs that repeat a word, once per byte of it. A word counts by its first ``OVERLAP`` bytes.
+    all word pairs that repeat a word, once per byte of it. A word counts by its first ``OVERLAP`` bytes. In a longer one,
+    as in scripts without spaces, every further character starts prefixes as a word does, so all of it is read.
     """
     a, starts = piece.start, piece.doc_starts
     data = raw[a : piece.readable]
@@ -124,11 +125,26 @@ def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] =
         if piece.inner:
             edge[0] = False
         at = np.flatnonzero((inside & (~before | edge))[:own])
-        if not len(at):
-            return
         stop = np.concatenate([np.flatnonzero(~inside | edge), [n]])
-        end = np.minimum(stop[np.searchsorted(stop, at, "right")], at + OVERLAP)
+        run_end = stop[np.searchsorted(stop, at, "right")]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * _power("p", _P, n), dtype=np.uint64)])
+        if prefixes:
+            long = run_end - at > OVERLAP
+            runs = list(zip(at[long].tolist(), run_end[long].tolist(), strict=True))
+            if piece.inner and before[0] and inside[0]:  # a word from the part before
+                earlier = word_bytes[raw[max(0, a - OVERLAP) : a]][::-1]
+                reach = len(earlier) if earlier.all() else int(earlier.argmin())
+                if reach + min(int(stop[0]), OVERLAP) > OVERLAP:
+                    runs.insert(0, (-1, int(stop[0])))
+            for first, last in runs:
+                inner = np.arange(first + 1, min(last, own))
+                inner = inner[(data[inner] & 0xC0) != 0x80]
+                for p in prefixes:
+                    whole = inner[inner + p <= last]
+                    yield doc[whole], _scatter((total[whole + p] - total[whole]) * _power("inverse", _P_INV, n)[whole], 2000 + p, bits), whole + a
+        if not len(at):
+            return
+        end = np.minimum(run_end, at + OVERLAP)
         back = _power("inverse", _P_INV, n)[at]
         word = _scatter((total[end] - total[at]) * back, 1001, bits)
         yield doc[at], word, at + a

@@ -7,8 +7,10 @@ steps, each a distributed aggregation over all sources at once, find it. Rates d
 sums run over the table of distinct (source, size) pairs.
 
 Rounding: within a source, from the largest size down, a pair's copies are the difference of its running rate rounded,
-which keeps the words within half the largest document of the target; then one pair takes one copy more or less where
-that brings the source nearer. Copies of a pair are dealt evenly over its documents in the order of their hash.
+which keeps the words within half the largest document of the target. A source that is still over ``NEAR`` of its target
+away then changes one copy, or two of them, of the sizes that bring it nearest, again and again while that helps; the
+partner of a change is the nearest size to what it lacks, found in sorted order. Copies of a pair are dealt evenly over
+its documents in the order of their hash.
 
 Cases. A null source is a source of its own and comes last. Null and empty texts have size 0, target nothing and take
 nothing. Repeated rows are documents of their own. Empty tables give empty results; extra columns are kept,
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, materialise
+from .common import broadcast_if_small, discard, fresh, materialise, written
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 MIX_COLUMNS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
@@ -29,9 +31,12 @@ WORKING = ("source_key", "mix_slice", "mix_order", "mix_before", "mix_cell", "mi
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 
-#: Newton steps; bisection backs them up, so this many always suffice for the tolerance below.
+#: Newton steps; bisection backs them up, so this many suffice for the tolerance below, or ``solve_tilts`` raises.
 MAX_STEPS = 60
 
+#: Share of a source's target within which its rounded words stand.
+NEAR = 1e-4
+
 #: Relative error of a source's words at which its tilt stands.
 TOLERANCE = 1e-7
 
@@ -104,7 +109,12 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, cap: float = CAP, max_step
         inside = (F.col("slope") > 0) & (low.isNull() | (newton > low)) & (high.isNull() | (newton < high))
         middle = F.when(low.isNull(), F.least(2 * high, high - 1)).when(high.isNull(), F.greatest(2 * low, low + 1)).otherwise((low + high) / 2)
         step = F.when(F.col("done") | settled, F.col("tilt")).when(inside, newton).otherwise(middle)
+        last = written[-1:]
         state = materialise(now.select("source_key", "source_size", "n_docs", "target", "mean", step.alias("tilt"), low.alias("low"), high.alias("high"), (F.col("done") | settled).alias("done")), "tilts")
+        discard(state.sparkSession, last)
+    else:
+        if not state.where(~F.col("done")).isEmpty():
+            raise RuntimeError(f"tilts did not settle in {max_steps} steps")
     return state.select("source_key", "source_size", "target", "mean", "tilt")
 
 
@@ -118,11 +128,39 @@ def round_copies(cells: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFra
     rated = rated.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("copies"), cap * F.col("n"))).cast("long"))
     whole = W.partitionBy("source_key")
     rest = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole)
-    rated = rated.withColumn("rest", rest).withColumn("change", F.signum("rest").cast("long"))
-    free = (F.col("copies") + F.col("change")).between(0, cap * F.col("n"))
-    left = F.abs(F.col("rest") - F.col("change") * F.col("size"))
-    best = F.min(F.when(free & (left < F.abs("rest")), F.struct(left.alias("left"), F.col("size").alias("at")))).over(whole)
-    return rated.select("source_key", "size", "n", (F.col("copies") + F.when(F.col("size") == best["at"], F.col("change")).otherwise(0)).alias("copies"))
+    state = materialise(rated.select("source_key", "size", "n", "copies", "target", rest.alias("rest")), "mix-copies")
+    while True:
+        better = materialise(_better(state.where(F.abs("rest") > NEAR * F.col("target")), cap), "mix-better")
+        if better.isEmpty():
+            return state.select("source_key", "size", "n", "copies")
+        moved = state.join(better.select("source_key", "one", "two"), "source_key", "left")
+        change = lambda move: F.when(F.abs(move) == F.col("size"), F.signum(move)).otherwise(0).cast("long")
+        one, two = F.coalesce("one", F.lit(0)), F.coalesce("two", F.lit(0))
+        last = written[-2:]
+        state = materialise(moved.select("source_key", "size", "n", (F.col("copies") + change(one) + change(two)).alias("copies"), "target", (F.col("rest") - one - two).alias("rest")), "mix-copies")
+        discard(state.sparkSession, last)
+
+
+def _better(state: DataFrame, cap: int) -> DataFrame:
+    """source_key, one, two: the words of the one or two copies more (or, negative, less) that bring a source nearest.
+
+    Only sources that come nearer are given, so their distance falls with each call.
+    """
+    more, less = cap * F.col("n") - F.col("copies"), F.col("copies")
+    moves = state.select("source_key", "rest", F.explode(F.array(F.struct(F.col("size").alias("move"), more.alias("room")), F.struct((-F.col("size")).alias("move"), less.alias("room")))).alias("m"))
+    moves = moves.select("source_key", "rest", "m.move", "m.room").where(F.col("room") > 0)
+    there = moves.select("source_key", "rest", F.col("move").cast("double").alias("at"), F.struct("move", "room").alias("there"), F.lit(None).cast("long").alias("one"))
+    wanted = moves.select("source_key", "rest", (F.col("rest") - F.col("move")).alias("at"), F.lit(None).cast(there.schema["there"].dataType).alias("there"), F.col("move").alias("one"))
+    line = W.partitionBy("source_key").orderBy("at")
+    met = there.unionByName(wanted).withColumns({
+        "below": F.last("there", True).over(line.rangeBetween(W.unboundedPreceding, W.currentRow)),
+        "above": F.first("there", True).over(line.rangeBetween(W.currentRow, W.unboundedFollowing)),
+    }).where(F.col("one").isNotNull())
+    partner = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("move"), F.lit(2).cast("long").alias("room")), F.col("below"), F.col("above"))).alias("p")
+    pairs = met.select("source_key", "rest", "one", partner).where((F.col("p.move") != F.col("one")) | (F.col("p.room") > 1))
+    left = F.abs(F.col("rest") - F.col("one") - F.col("p.move"))
+    best = pairs.where(left < F.abs("rest") - 1e-6).groupBy("source_key").agg(F.min(F.struct(left.alias("left"), F.abs("p.move").alias("least"), F.col("one"), F.col("p.move").alias("two"))).alias("b"))
+    return best.select("source_key", "b.one", "b.two")
 
 
 def _source_key(documents: DataFrame | None = None) -> Column:

@@ -1,9 +1,11 @@
 """Secret scans behind a trigram index, in DataFrame functions only.
 
 Each rule's regular expression gives a Boolean query over lower-cased trigrams, an OR of ANDs that every match must
-satisfy. The index holds, for each document, the trigrams of the rules' vocabulary that occur in it; it is sharded by
-document, so postings are intersected where the text is and no text is shuffled. Candidates are verified with the
-expression itself; a rule without mandatory trigrams is verified on every text.
+satisfy. The inverted index is a written table of postings (trigram, text), for the trigrams of the rules' vocabulary; a
+text goes by its hash, so copies have one posting, and texts whose hashes collide only share their candidacy. A rule's
+ANDs are met by the texts that all their trigrams' postings have; these candidates, narrow rows, come to the texts by
+broadcast where they are few, and else each text's own trigrams are asked, with the same outcome, so no text is shuffled.
+Candidates are verified with the expression itself; a rule without mandatory trigrams is verified on every text.
 
 Positions: ``split`` and ``regexp_extract_all`` cut a text at the same leftmost matches, so a match starts after all gaps
 and matches before it. Those running sums are windows over one document's matches, not over its text.
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, materialise
+
 #: A regular expression's trigram query: any of these sets must be there in full.
 Query = frozenset[frozenset[str]]
 ANYTHING: Query = frozenset([frozenset()])
@@ -133,33 +137,53 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted({t for r in rules for q in trigram_query(r.pattern) for t in q})
 
 
-def index(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text, row_key and ``trigrams``: which trigrams of the vocabulary the text has."""
-    words = vocabulary(rules)
+def with_trigrams(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``texts`` and ``trigrams``: which of the vocabulary their text has."""
     # an array of conditions, as a lambda would have the text lower-cased anew for each trigram
-    there = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), t) for t in words)).cast("array<string>"))
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row_key"))
+    there = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), t) for t in vocabulary(rules))).cast("array<string>"))
     return texts.withColumn("low", F.lower("text")).withColumn("trigrams", there).drop("low")
 
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """The index the other way round: (trigram, doc_id)."""
-    return indexed.select(F.explode("trigrams").alias("trigram"), "doc_id")
+def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The inverted index: (trigram, text_key)."""
+    return with_trigrams(texts, rules).select(F.explode("trigrams").alias("trigram"), "text_key")
+
+
+def clauses(rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int, int]]:
+    """(trigram, rule, clause, trigrams of the clause) for all ANDs of the rules that have mandatory trigrams."""
+    found, clause = [], 0
+    for k, rule in enumerate(rules):
+        query = trigram_query(rule.pattern)
+        if frozenset() not in query:
+            for wanted in sorted(map(sorted, query)):
+                found += [(t, k, clause, len(wanted)) for t in wanted]
+                clause += 1
+    return found
 
 
-def candidate(rule: Rule) -> Column:
-    """Whether the row's postings meet the rule's query."""
-    query = trigram_query(rule.pattern)
-    if frozenset() in query:
-        return F.lit(True)
-    met = F.lit(False)
-    for wanted in sorted(map(sorted, query)):
-        met = met | (F.size(F.array_except(F.array(*(F.lit(t) for t in wanted)), F.col("trigrams"))) == 0)
-    return met
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """text_key and ``c_rules``, a bit per rule: the texts that are in all postings of one of the rule's clauses."""
+    wanted = F.broadcast(index.sparkSession.createDataFrame(clauses(rules), "w_trigram string, rule int, clause int, size int"))  # rows of the vocabulary
+    met = index.distinct().join(wanted, F.col("trigram") == wanted["w_trigram"])
+    whole = met.groupBy("text_key", "rule", "clause").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") == F.col("size"))
+    return whole.groupBy("text_key").agg(F.bit_or(F.element_at(F.array(*(F.lit(1 << k) for k in range(len(rules)))), F.col("rule") + 1)).alias("c_rules"))
+
+
+def own_rules(rules: tuple[Rule, ...] = RULES) -> Column:
+    """What ``candidates`` gives for a text, from its own ``trigrams``."""
+    bits = F.lit(0)
+    for k, rule in enumerate(rules):
+        query, met = trigram_query(rule.pattern), F.lit(False)
+        if frozenset() in query:
+            continue
+        for wanted in sorted(map(sorted, query)):
+            met = met | (F.size(F.array_except(F.array(*(F.lit(t) for t in wanted)), F.col("trigrams"))) == 0)
+        bits = bits.bitwiseOR(F.when(met, 1 << k).otherwise(0))
+    return bits
 
 
 def _matches(rule: Rule, order: int) -> Column:
-    """The rule's matches in one text as (kind_order, at, gap, length, ok); none unless it is a candidate."""
+    """The rule's matches in one text as (kind_order, at, gap, length, ok); none unless it is a candidate by ``c_rules``."""
     pattern = F.lit(rule.pattern)
     gaps = F.split("text", rule.pattern, -1)
     zipped = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("whole"), F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("part"))
@@ -167,16 +191,26 @@ def _matches(rule: Rule, order: int) -> Column:
         F.lit(order).alias("kind_order"), i.alias("at"), F.char_length(z["gap"]).cast("long").alias("gap"),
         F.char_length(z["whole"]).cast("long").alias("length"), (F.char_length(z["part"]) >= rule.at_least).alias("ok"),
     ))
-    return F.when(candidate(rule), rows)
+    if frozenset() in trigram_query(rule.pattern):
+        return rows
+    return F.when(F.col("c_rules").bitwiseAND(1 << order) != 0, rows)
 
 
 MATCH = "array<struct<kind_order:int,at:int,gap:bigint,length:bigint,ok:boolean>>"
 
 
-def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id and ``spans``: (start, kind_order, end) sorted, in code points, the end exclusive."""
     none = F.array().cast(MATCH)
-    found = index(documents, rules).select("doc_id", "row_key", F.concat(*(F.coalesce(_matches(r, k).cast(MATCH), none) for k, r in enumerate(rules))).alias("found"))
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row_key"))
+    index = materialise(postings(texts, rules), "secret-postings")
+    met = materialise(candidates(index, rules), "secret-candidates").withColumnRenamed("text_key", "c_key")
+    if met.count() <= broadcast_rows:
+        asked = texts.join(F.broadcast(met), texts["text_key"] == met["c_key"], "left").withColumn("c_rules", F.coalesce("c_rules", F.lit(0)))
+    else:
+        asked = with_trigrams(texts, rules).withColumn("c_rules", own_rules(rules))
+    found = asked.select("doc_id", "row_key", F.concat(*(F.coalesce(_matches(r, k).cast(MATCH), none) for k, r in enumerate(rules))).alias("found"))
     # outer: a document without matches keeps its row
     rows = found.select("doc_id", "row_key", F.explode_outer("found").alias("m")).select("doc_id", "row_key", "m.*").repartition("row_key")
     before = W.partitionBy("row_key", "kind_order").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -6,8 +6,9 @@ to the next shard with room, and only an arc that fits nowhere whole is split, b
 arcs are placed first. So loads are even by construction, and a change of shards moves little beyond the new shard's
 part.
 
-Scale: the ring has at most ``arcs`` arcs, so the placement reads that many sums and no documents; documents are ranked
-within their arc, never within a whole shard.
+Scale: the ring has at most ``arcs`` arcs, so the placement reads that many sums and no documents. Documents are ranked in
+cells: an arc's slice by the hash of the row and, where a slice holds over ``hot_rows`` rows, as when one row is repeated,
+a share of it as the rows are stored. Cells' running sums give the rest, so neither a shard nor an arc is sorted in one task.
 
 Cases. Null texts have size 8 and the checksum of an empty text. Null or repeated doc_ids hash like any others; equal
 rows are interchangeable. Empty tables give empty results. ``shard`` keeps the columns of its input but the text, and
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 
 #: Arcs of the ring: the bound of what the driver reads, about 2 MB.
 ARCS = 1 << 16
@@ -32,6 +33,11 @@ VIRTUAL_NODES = 64
 #: How far a shard may exceed the mean before keys overflow.
 SLACK = 0.0005
 
+#: Slices of an arc, the rows from which a slice is shared out, and its shares.
+SLICES = 16
+HOT_ROWS = 100_000
+SHARES = 256
+
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
     """Sorted (position of 64 bits, shard)."""
@@ -77,13 +83,13 @@ def place(loads: list[tuple[int, int, int]], shards: int, arcs: int = ARCS, virt
     return placed
 
 
-def shard(documents: DataFrame, shards: int = 24, arcs: int = ARCS, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> DataFrame:
+def shard(documents: DataFrame, shards: int = 24, arcs: int = ARCS, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The documents' doc_id and other narrow columns with size, text_crc32, law, shard, slot, home_shard.
 
     The text itself stays where it is: the result has one row per document and no text.
     """
     spark = documents.sparkSession
-    added = ("size", "text_crc32", "arc", "shard_order", "law", "shard", "slot", "home_shard", "grown_shard", "first_byte", "in_arc", "p_arc", "p_from", "p_to", "o_shard", "o_arc", "o_from", "first_rank", "offset")
+    added = ("size", "text_crc32", "arc", "shard_order", "law", "shard", "slot", "home_shard", "grown_shard", "first_byte", "in_arc", "p_arc", "p_from", "p_to", "o_shard", "o_arc", "o_from", "first_rank", "offset", "slice", "share", "h_arc", "h_slice", "c_arc", "c_slice", "c_share", "c_byte", "c_rank")
     documents = documents.select([c for c in documents.columns if c.lower() not in added])
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.xxhash64("doc_id")
@@ -91,12 +97,25 @@ def shard(documents: DataFrame, shards: int = 24, arcs: int = ARCS, virtual_node
         "size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text.cast("binary")),
         "arc": F.shiftrightunsigned(order, 64 - (arcs.bit_length() - 1)).cast("int"), "shard_order": order,
     }).drop("text")
+    row = F.xxhash64("doc_id", "text_crc32", "size")
+    narrow = narrow.withColumns({"slice": F.pmod(row, F.lit(SLICES)).cast("int"), "share": F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int")})
     narrow = materialise(narrow, "shard-rows")
-    loads = narrow.groupBy("arc").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    hot = narrow.groupBy(F.col("arc").alias("h_arc"), F.col("slice").alias("h_slice")).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).drop("n")
+    hot = broadcast_if_small(materialise(hot, "shard-hot"))
+    narrow = narrow.join(hot, (F.col("arc") == F.col("h_arc")) & (F.col("slice") == F.col("h_slice")), "left")
+    narrow = narrow.withColumn("share", F.when(F.col("h_arc").isNotNull(), F.col("share")).otherwise(-1)).drop("h_arc", "h_slice")
+    cells = materialise(narrow.groupBy(F.col("arc").alias("c_arc"), F.col("slice").alias("c_slice"), F.col("share").alias("c_share")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-cells")
+    loads = cells.groupBy(F.col("c_arc").alias("arc")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
     placed = place([(r["arc"], r["bytes"], r["n"]) for r in loads.collect()], shards, arcs, virtual_nodes, slack)
     plan = spark.createDataFrame(placed, "p_arc int, p_from long, p_to long, shard int, home_shard int")
-    in_arc = W.partitionBy("arc").orderBy("shard_order", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    ranked = narrow.withColumns({"first_byte": F.coalesce(F.sum("size").over(in_arc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "in_arc": F.row_number().over(in_arc)})
+    # at most SLICES * SHARES cells for an arc
+    along = W.partitionBy("c_arc").orderBy("c_slice", "c_share").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select("c_arc", "c_slice", "c_share", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("c_byte"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("c_rank"))
+    cells = broadcast_if_small(materialise(cells, "shard-offsets"))
+    in_cell = W.partitionBy("arc", "slice", "share").orderBy("shard_order", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    ranked = narrow.withColumns({"first_byte": F.coalesce(F.sum("size").over(in_cell.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "in_arc": F.row_number().over(in_cell)})
+    ranked = ranked.join(cells, (F.col("arc") == F.col("c_arc")) & (F.col("slice") == F.col("c_slice")) & (F.col("share") == F.col("c_share")))
+    ranked = ranked.withColumns({"first_byte": F.col("first_byte") + F.col("c_byte"), "in_arc": F.col("in_arc") + F.col("c_rank")})
     # at most one row per arc and a few for split arcs: bounded by the ring, so it may be broadcast
     ranked = ranked.join(F.broadcast(plan), (F.col("arc") == F.col("p_arc")) & (F.col("first_byte") >= F.col("p_from")) & (F.col("first_byte") < F.col("p_to")))
     ranked = materialise(ranked, "shard-ranked")

@@ -316,7 +316,7 @@ def _verified(links: DataFrame, per_doc: DataFrame, documents: DataFrame, words:
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
-    """doc_id, text_hash, fp (signed long) and component_id, one row per input row."""
+    """doc_id, text_hash, fp (signed long), root (the component's smallest fingerprint) and component_id, one row per input row."""
     per_doc = materialise(fingerprints(documents, words, max_distance > SURE), "simhash")
     classes = materialise(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     distinct = per_doc.drop("doc_id", "text_hash").distinct() if max_distance > SURE else classes.select("fp")
@@ -326,24 +326,30 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4)
     labels = connected_components(links)  # node, label: only fingerprints with a link
     rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    final = rooted.join(roots, "root").select(F.col("fp").alias("c_fp"), "component_id")
-    return per_doc.join(final, per_doc["fp"] == final["c_fp"]).select("doc_id", "text_hash", "fp", "component_id")
+    final = rooted.join(roots, "root").select(F.col("fp").alias("c_fp"), "root", "component_id")
+    return per_doc.join(final, per_doc["fp"] == final["c_fp"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
     """Keeps one document of each component: the row whose doc_id is the component's id.
 
-    Rows without a doc_id can't be told apart, so they stay. Of rows that repeat a kept doc_id and its text, one stays.
-    What goes is written first, as ids and text hashes, and broadcast if it is little; only otherwise are whole documents
+    Rows without a doc_id can't be told apart, so they stay. Of several rows with the kept doc_id in one component, one
+    stays: one of those with the smallest text hash. Unlike texts under one doc_id are in components of their own. What goes is written first, as ids and text hashes, and broadcast if it is little; only otherwise are whole documents
     shuffled.
     """
     found = materialise(near_duplicates(documents, words, max_distance).where(F.col("doc_id").isNotNull()), "simhash-found")
-    gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")), "simhash-gone")
+    hashes = F.coalesce("text_hash", F.lit(0))
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root", hashes.alias("hash")).agg(F.count("*").alias("n"))
+    firsts = materialise(firsts, "simhash-firsts")
+    kept_hash = firsts.groupBy("doc_id", "root").agg(F.min("hash").alias("least"), F.count("*").alias("texts")).where(F.col("texts") > 1).drop("texts")
+    other = firsts.join(kept_hash, ["doc_id", "root"]).where(F.col("hash") != F.col("least")).select(F.col("doc_id").alias("g_id"), F.col("hash").alias("g_hash"))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+    gone = materialise(gone.unionByName(other), "simhash-gone")
     of_row = lambda side, a, b: (documents["doc_id"] == side[a]) & (F.xxhash64(documents["text"]) == side[b])
     kept = documents.join(broadcast_if_small(gone), of_row(gone, "g_id", "g_hash"), "left_anti")
-    again = materialise(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("a_id")).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "simhash-again")
+    again = materialise(firsts.where(F.col("n") > 1).select(F.col("doc_id").alias("a_id"), F.col("hash").alias("a_hash")), "simhash-again")
     if again.isEmpty():
         return kept
     again = broadcast_if_small(again)
-    met = kept["doc_id"] == again["a_id"]
-    return kept.join(again, met, "left_anti").unionByName(kept.join(again, met, "left_semi").dropDuplicates(["doc_id"]))
+    met = (kept["doc_id"] == again["a_id"]) & (F.xxhash64(kept["text"]) == again["a_hash"])
+    return kept.join(again, met, "left_anti").unionByName(kept.join(again, met, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -40,8 +40,8 @@ GRAM = 64
 #: Bytes after the common gram that quicksort orders; what still agrees goes to a blind trie.
 SHALLOW = 32
 
-#: Distinct contexts of one gram that a task sorts: about 50 MB of bytes.
-GROUP = 65_536
+#: Distinct contexts of one gram that a task sorts: about 6 MB of bytes.
+GROUP = 8192
 
 #: Bits of the filters that keep rows without a partner out of the shuffles: 4 MB each, whatever the input.
 FILTER_BITS = 1 << 25

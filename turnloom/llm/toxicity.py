@@ -2,7 +2,7 @@
 
 Many voters, each a lexicon entry (a word or a word's beginning) or a pattern, vote for toxic, or abstain; one voter
 votes for clean where no lexicon entry occurs. A generative label model estimates how often each voter votes given
-the hidden label, and how voters correlate within a label, by expectation maximisation over the vote patterns of all
+the hidden label, and how voters correlate in toxic texts, by expectation maximisation over the vote patterns of all
 documents; known labels, outside the held-out fold, are clamped with a share of noise. Correlated voters share their
 weight. A linear classifier over hashed words and word beginnings is then trained on the posterior labels, and scores
 every whole text.
@@ -37,6 +37,10 @@ FIT_ROWS = 6000
 
 #: Lexicon voters at most; with the pattern voters a vote fits one long.
 LEXICON = 48
+
+#: Entries that the lexicon is chosen from, and features that the classifier weighs, at most: the best by evidence.
+ENTRIES = 4000
+FEATURES = 4096
 STEPS = 12
 NOISE = 0.05
 
@@ -48,7 +52,7 @@ CLEAN = VOTERS  # the bit of the voter for clean
 
 
 def presence(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct buckets of each text."""
+    """The distinct buckets of each text: its words and their beginnings, and each place of a long run without spaces."""
     raw, offsets = string_buffers(texts)
     found: list[list[np.ndarray]] = [[] for _ in range(len(offsets) - 1)]
     for piece in pieces(offsets):
@@ -80,7 +84,7 @@ def induce(texts: pa.Array, labels: np.ndarray, most: int = LEXICON) -> np.ndarr
         (in1 if y else in0)[d] += 1
     odds, strength = evidence(in1, in0, n1, n0)
     ok = np.flatnonzero((in1 >= max(3, n1 * 0.005)) & (odds > np.log(8.0)) & (strength > 4.5))
-    ok = ok[np.lexsort((ok, -strength[ok]))][:4000]
+    ok = ok[np.lexsort((ok, -strength[ok]))][:ENTRIES]
     place = np.full(size, -1)
     place[ok] = np.arange(len(ok))
     holds: list[set[int]] = [set() for _ in ok]
@@ -183,7 +187,7 @@ def fit(texts: pa.Array, target: np.ndarray, epochs: int = 30, seed: int = 3) ->
     n1, n0 = max(1e-6, target.sum()), max(1e-6, (1 - target).sum())
     odds, strength = evidence(in1, in0, n1, n0)
     chosen = np.flatnonzero((in1 + in0 >= 3) & (strength > 4) & (odds > np.log(5.0)))
-    chosen = np.sort(chosen[np.lexsort((chosen, -strength[chosen]))][:4096])
+    chosen = np.sort(chosen[np.lexsort((chosen, -strength[chosen]))][:FEATURES])
     rng = np.random.default_rng(seed)
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))

@@ -5,8 +5,11 @@ and raw size, then the frame count and a magic number), so a reader finds any fr
 maps each record to its bundle, frame and offset within the raw frame, so one record costs one frame.
 
 Pages with equal payloads of at least ``min_bytes`` are written once: the smallest page_id is the response, others
-revisit it. Decisions are taken on digests alone; html meets them on the page's own id, so a payload that a third of all
-pages share is never gathered.
+revisit it. Decisions are taken on digests alone. Digests that several pages share are broadcast while they are few, so
+html is written where it is read; beyond that html meets its page's decision on the page's own id and a salt, so a
+payload that a third of all pages share is never gathered.
+
+Reading takes frames: each task reads some of a bundle's, found by the seek table, and tasks grow with the bytes.
 
 Tasks write bundles under names of their own attempt into the shared folder; only those in the committed index count, so
 a lost or repeated attempt leaves nothing but an unread file.
@@ -41,6 +44,13 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MIN_BYTES = 100
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 25
+
+#: Compressed bytes of the frames that one task reads.
+READ_BYTES = 1 << 22
+
+#: Shared digests that may be broadcast, at about 60 bytes each, and the parts of a page_id's rows beyond that.
+SHARED_ROWS = 1_000_000
+SALTS = 16
 RECORD_DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "bundle string, frame int, frame_at long, frame_bytes long, record_at long, record_bytes long, page_id long, record_type string"
@@ -174,18 +184,26 @@ _INDEX_ARROW = pa.schema([("bundle", pa.string()), ("frame", pa.int32()), ("fram
 _RECORDS_ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("html", pa.string())])
 
 
-def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def decide(pages: DataFrame, min_bytes: int = MIN_BYTES, shared_rows: int = SHARED_ROWS) -> DataFrame:
     """page_id, url, html (null for revisits), digest, n_bytes, record_type, refers_to."""
     html = F.coalesce("html", F.lit(""))
     digested = pages.select("page_id", "url", "html", F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
-    narrow = digested.where(F.col("n_bytes") >= min_bytes).select("page_id", "digest")
-    shared = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n")
-    revisits = narrow.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first_id").distinct()
-    meets = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
-    again = F.col("first_id").isNotNull()
-    return digested.join(revisits, meets, "left").select(
+    narrow = digested.where(F.col("n_bytes") >= min_bytes).select("page_id", F.unhex("digest").alias("s_digest"))
+    shared = narrow.groupBy("s_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n")
+    shared = materialise(shared, "warc-shared")
+    same = F.unhex("digest") == F.col("s_digest")
+    if shared.count() <= shared_rows:
+        # only shared digests are there, and they are all long enough
+        met = digested.join(F.broadcast(shared), same, "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt")
+        revisits = narrow.join(shared, "s_digest").select(F.col("page_id").alias("r_id"), "s_digest", "first_id").distinct().select("r_id", "s_digest", "first_id", salts)
+        salted = digested.withColumn("salt", F.pmod(F.xxhash64("url") + F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        met = salted.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & same & (F.col("salt") == F.col("r_salt")), "left")
+    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return met.select(
         "page_id", "url", F.when(~again, F.col("html")).alias("html"), "digest", "n_bytes",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
     )
 
 
@@ -212,20 +230,32 @@ def _record_row(head: dict[str, str], block: bytes) -> dict:
     }
 
 
-def read_archive(folder: str, index: DataFrame) -> DataFrame:
-    """All records of the index's bundles, checked against their digests; one task takes some bundles, a frame at a time."""
+def read_archive(folder: str, index: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """All records of the index's bundles, checked against their digests; a task takes some frames, one at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        name, file, table = None, None, []
         for batch in batches:
-            for name in batch["bundle"].to_pylist():
-                with fs.open_input_file(f"{base}/{name}") as file:
-                    for at, packed, raw in seek_table(file):
-                        file.seek(at)
-                        frame = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=raw)
-                        yield pa.RecordBatch.from_pylist([_record_row(h, b) for _, h, b in parse_records(frame)], schema=_RECORDS_ARROW)
-
-    return index.select("bundle").distinct().mapInArrow(read, RECORDS)
+            for x in batch.to_pylist():
+                if x["bundle"] != name:
+                    if file is not None:
+                        file.close()
+                    name = x["bundle"]
+                    file = fs.open_input_file(f"{base}/{name}")
+                    table = seek_table(file)
+                at, packed, raw = table[x["frame"]]
+                file.seek(at)
+                frame = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=raw)
+                yield pa.RecordBatch.from_pylist([_record_row(h, b) for _, h, b in parse_records(frame)], schema=_RECORDS_ARROW)
+        if file is not None:
+            file.close()
+
+    frames = index.groupBy("bundle", "frame").agg(F.first("frame_bytes").alias("packed"))
+    whole = frames.agg(F.sum("packed")).first()[0] or 0
+    # a fixed number: the rows are tiny and would otherwise be put together, though each stands for a frame
+    tasks = max(1, -(-whole // read_bytes))
+    return frames.select("bundle", "frame").repartition(tasks, "bundle", F.floor(F.col("frame") / 8)).sortWithinPartitions("bundle", "frame").mapInArrow(read, RECORDS)
 
 
 def fetch(folder: str, wanted: DataFrame) -> DataFrame:
