@@ -146,7 +146,8 @@ def with_trigrams(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index: (trigram, text_key)."""
-    return with_trigrams(texts, rules).select(F.explode("trigrams").alias("trigram"), "text_key")
+    # an outer explode: for the inner kind the optimizer would look for all trigrams once more, to filter empty arrays
+    return with_trigrams(texts, rules).select(F.explode_outer("trigrams").alias("trigram"), "text_key").where(F.col("trigram").isNotNull())
 
 
 def clauses(rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int, int]]:
