@@ -38,6 +38,9 @@ SLICES = 16
 HOT_ROWS = 100_000
 SHARES = 256
 
+#: Cells whose offsets are broadcast; more of them meet the rows by a join on the cells by which these are dealt anyway.
+BROADCAST_CELLS = 50_000
+
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
     """Sorted (position of 64 bits, shard)."""
@@ -111,7 +114,7 @@ def shard(documents: DataFrame, shards: int = 24, arcs: int = ARCS, virtual_node
     # at most SLICES * SHARES cells for an arc
     along = W.partitionBy("c_arc").orderBy("c_slice", "c_share").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("c_arc", "c_slice", "c_share", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("c_byte"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("c_rank"))
-    cells = broadcast_if_small(materialise(cells, "shard-offsets"))
+    cells = broadcast_if_small(materialise(cells, "shard-offsets"), BROADCAST_CELLS)
     in_cell = W.partitionBy("arc", "slice", "share").orderBy("shard_order", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     ranked = narrow.withColumns({"first_byte": F.coalesce(F.sum("size").over(in_cell.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "in_arc": F.row_number().over(in_cell)})
     ranked = ranked.join(cells, (F.col("arc") == F.col("c_arc")) & (F.col("slice") == F.col("c_slice")) & (F.col("share") == F.col("c_share")))
