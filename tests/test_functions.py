@@ -35,7 +35,7 @@ def test_action_details(spark):
     a = actions.parse_actions(F.col("b"))
     body = reply(FIELDS)
     assert one(spark, actions.fields_set(a), b=body) == ["a-0-b", "c"]
-    assert one(spark, actions.choice_options(a), b=body) == ["x", "L", "w"]
+    assert one(spark, actions.choice_options(a), b=body) == ["x", "L", "w", " "]
     assert [(p["field_id"], p["value"]) for p in one(spark, actions.pairs(a), b=body)][:1] == [("a.0.b", "1")]
     assert one(spark, actions.summary(a), b=body) == "set_fields(3) + ask_choice"
     assert one(spark, F.size(actions.parse_fenced_actions(F.col("b"))), b=body) == 0

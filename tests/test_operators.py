@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators import aggregates, generation, merging, sampling, turns, validation, vectors
+from turnloom.operators import aggregates, generation, merging, sampling, scale, turns, validation, vectors
 from turnloom.session import configure
 
 
@@ -211,3 +211,21 @@ def test_case_rules(spark):
     rows = [(("s-v1", "src", "i", (full, ["a"], ["1"])), ("s", "src")), (("t", "src", "i", (full, ["a"], ["1"])), ("s", "src")), (("s1", "src", "i", ((None,) * 5, [], [])), ("s", "src")), (("s1", "x", "i", (full, ["a"], [])), ("s", "src"))]
     got = [r[0] for r in spark.createDataFrame(rows, kind).select(cases.variation_fault(F.col("v"), F.col("seed"))).collect()]
     assert got == [None, "test_id should start with the seed's", "missing flag 'has_new_data'", "field_ids and field_values length mismatch"]
+
+
+def test_history_with_hollow_replies_and_leaked_prefixes(spark):
+    click = "[system] User clicked: Save"
+    rows = [("user", "hello"), ("assistant", " "), ("user", click), ("assistant", "  \n"), ("user", click), ("assistant", " [system] done"), ("user", click), ("assistant", "real"), ("assistant", click + "\n\n rest"), ("assistant", click), ("user", None)]
+    df = spark.createDataFrame([([(r, c, k) for k, (r, c) in enumerate(rows)],)], "h array<struct<role:string,content:string,turn:int>>")
+    got = df.select(turns.clean_history(F.col("h"), keep=("turn",)).alias("c")).first()["c"]
+    assert [(e["turn"], e["content"]) for e in got] == [(0, "hello"), (1, " "), (7, "real"), (8, "rest")]
+
+
+def test_numbering_without_one_task(spark):
+    df = spark.createDataFrame([(k * 37 % 1000, float(k % 7), k % 3) for k in range(1000)], "k int, v double, g int")
+    got = scale.numbered(df, F.col("v"), ["k"], "at", ["g"]).collect()
+    for g in range(3):
+        own = sorted((r["v"], r["k"]) for r in got if r["g"] == g)
+        assert [(r["v"], r["k"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["at"])] == own
+        assert sorted(r["at"] for r in got if r["g"] == g) == list(range(1, len(own) + 1))
+    assert scale.numbered(df.limit(0), F.col("v"), ["k"], "at").collect() == []

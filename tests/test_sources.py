@@ -33,9 +33,12 @@ def test_documents_with_rows(spark, tmp_path):
 
 
 def test_scraped_logs(spark):
-    text = ["[ 0 ] a score=0.1", "[ 1 ] b score=0.2", "noise", "[ 0 ] a score=0.5", "[ 1 ] b score=0.6", "[ 3 ] d score=0.9"]
-    lines = spark.createDataFrame(list(enumerate(text)), "n int, value string")
-    assert [tuple(r) for r in logs.scraped_scores(lines, "n").orderBy("idx").collect()] == [(0, "a", 0.5), (1, "b", 0.6)]
+    def scraped(*text):
+        return [tuple(r) for r in logs.scraped_scores(spark.createDataFrame(list(enumerate(text)), "n int, value string"), "n").orderBy("idx").collect()]
+
+    assert scraped("[ 0] a score=0.1", " [1]  b score=0.2 ", "noise", "x [2] y score=1", "[ 0] a score=0.5", "[ 1] b score=0.6", "[ 3] d score=0.9") == [(0, "a", 0.5), (1, "b", 0.6)]
+    assert scraped(*(f"[{i}] t{k} score=0.{k}" for k, i in enumerate((0, 1, 2, 5, 0, 1), 1))) == [(0, "t1", 0.1), (1, "t2", 0.2), (2, "t3", 0.3)]
+    assert scraped("[1] a score=1") == [] and scraped("nothing") == []
     steps = spark.createDataFrame([(0, "x {'loss': 0.5, 'reward': '1.5'} y"), (1, "{'loss': 0.25}")], "n int, value string")
     assert [(r["step"], r["metrics"].get("loss"), r["metrics"].get("reward")) for r in logs.scraped_steps(steps, "n").orderBy("step").collect()] == [(1, 0.5, 1.5), (2, 0.25, None)]
 

@@ -59,11 +59,24 @@ def pairs(actions: Column) -> Column:
 
 
 def choice_options(actions: Column) -> Column:
-    """Labels (or values, or plain texts) of the first ask_choice with options."""
+    """Labels (where empty, values) or plain texts of the first ask_choice, whether or not it has options."""
     options = lambda a: F.coalesce(F.try_variant_get(a, "$.options", "array<variant>"), F.array().cast("array<variant>"))
-    first = F.get(F.filter(actions, lambda a: (F.try_variant_get(a, "$.type", "string") == "ask_choice") & (F.size(options(a)) > 0)), F.lit(0))
-    text = lambda o: F.coalesce(F.try_variant_get(o, "$.label", "string"), F.try_variant_get(o, "$.value", "string"), F.when(_is(o, "STRING"), F.try_variant_get(o, "$", "string")))
-    return F.filter(F.transform(options(first), text), lambda x: x.isNotNull() & (strip(x) != ""))
+    first = F.get(F.filter(actions, lambda a: F.try_variant_get(a, "$.type", "string") == "ask_choice"), F.lit(0))
+    filled = lambda o, path: F.nullif(F.try_variant_get(o, path, "string"), F.lit(""))
+    text = lambda o: F.when(_is(o, "OBJECT"), F.coalesce(filled(o, "$.label"), filled(o, "$.value"))).otherwise(F.try_variant_get(o, "$", "string"))
+    return F.filter(F.transform(options(first), text), lambda x: x.isNotNull() & (x != ""))
+
+
+def gold_values(c: Column) -> Column:
+    """P5: field id to value of a reply whose fenced block is an array; nulls are skipped and the last value wins."""
+    block = F.regexp_extract(c, r"(?s)" + DELIMITER + r"\s*```json\s*(\[.*?\])\s*```", 1)
+    v = F.try_parse_json(F.when(block != "", block))
+    none = F.array().cast("array<variant>")
+    listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)
+    setters = F.filter(listed, lambda a: F.try_variant_get(a, "$.type", "string") == "set_fields")
+    fields = F.flatten(F.transform(setters, lambda a: F.coalesce(F.try_variant_get(a, "$.fields", "array<variant>"), none)))
+    entries = F.transform(fields, lambda f: F.struct(F.try_variant_get(f, "$.field_id", "string").alias("k"), F.try_variant_get(f, "$.value", "string").alias("v")))
+    return F.map_from_entries(F.filter(entries, lambda e: e["k"].isNotNull() & e["v"].isNotNull()))
 
 
 def valid_types(kinds: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scale import numbered
+
 
 def share(df: DataFrame, *keys: str, digits: int = 4) -> DataFrame:
     """A1: count and percent of all rows."""
@@ -113,12 +115,12 @@ def extremes(df: DataFrame, k: int, key: str, delta: str = "delta") -> DataFrame
 def by_sign(df: DataFrame, key: str, delta: str = "delta") -> DataFrame:
     """K6: ranks positives from the top and negatives from the bottom; exact ties go."""
     moved = df.where(F.col(delta) != 0).withColumn("side", F.when(F.col(delta) > 0, "boost").otherwise("regression"))
-    return moved.withColumn("rank", F.row_number().over(W.partitionBy("side").orderBy(F.desc(F.abs(F.col(delta))), key)))
+    return numbered(moved, -F.abs(F.col(delta)), [key], "rank", ["side"])
 
 
 def segments(df: DataFrame, step: str, value: str, parts: int = 6, least: int = 10) -> DataFrame:
     """Means over about ``parts`` equal ranges of steps, each at least ``least`` wide."""
-    width = F.greatest(F.lit(least), F.floor(F.max(step).over(W.partitionBy()) / parts))
+    width = F.lit(max(least, (df.agg(F.max(step)).first()[0] or 0) // parts))
     cut = df.select(step, value, width.alias("width")).withColumn("segment", F.floor((F.col(step) - 1) / F.col("width")))
     return cut.groupBy("segment").agg(F.min(step).alias("from_step"), F.max(step).alias("to_step"), F.round(F.avg(value), 6).alias("mean"))
 
@@ -142,6 +144,16 @@ def first_examples(df: DataFrame, buckets: str, order: str, *columns: str) -> Da
     return each.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).alias("first_" + order), *(F.min_by(c, order).alias(c) for c in columns))
 
 
+def throughput(df: DataFrame, keys: list[str], ok: Column, seconds: str, planned: int, cost_per_call: float) -> DataFrame:
+    """Per key calls done, the percent that succeeded, seconds a call, seconds and cost to go at that pace."""
+    done = df.groupBy(*keys).agg(F.count("*").alias("n_done"), F.count_if(~ok).alias("n_errors"), F.sum(seconds).alias("elapsed"))
+    pace = F.col("elapsed") / F.col("n_done")
+    return done.select(
+        *keys, "n_done", "n_errors", F.round((1 - F.col("n_errors") / F.col("n_done")) * 100, 4).alias("success_pct"), F.round(pace, 6).alias("per_call"),
+        F.round((planned - F.col("n_done")) * pace, 4).alias("eta_seconds"), F.round(F.col("n_done") * cost_per_call, 6).alias("cost"),
+    )
+
+
 def completeness(filled: Column, total: Column) -> Column:
     """Whole percent, half up; 100 where nothing is required."""
     return F.when(total == 0, 100).otherwise(F.round(100.0 * filled / total).cast("int"))

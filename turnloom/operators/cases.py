@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.actions import content_module
 from ..functions.ids import dotted_to_dashed
 from .sampling import shuffle_key, unit_interval
+from .scale import broadcast_if_few, numbered, with_places
 
 
 def intent(kinds: Column) -> Column:
@@ -114,10 +113,14 @@ def group_errors(groups: DataFrame, min_items: int, max_items: int, label: str)
 
 
 def rubric_for(cases: DataFrame, universal: DataFrame, by_tag: DataFrame) -> DataFrame:
-    """Universal items for every case and an item for each distinct tag; rubric tables are literals of tens of rows."""
+    """Universal items for every case and an item for each distinct tag; rubric tables are broadcast while they are few rows."""
     items = universal.agg(F.array_sort(F.collect_list(F.struct("item_id", "weight"))).alias("items"))
-    every = cases.select("test_id").join(F.broadcast(items.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("test_id", F.explode("items").alias("i")).select("test_id", "i.*")
-    tagged = cases.select("test_id", F.explode(F.array_distinct("cannot_targets")).alias("tag")).join(F.broadcast(by_tag), "tag").select("test_id", "item_id", "weight")
+    listed = items.first()["items"] if universal.limit(1000).count() < 1000 else None
+    if listed is None:
+        raise ValueError("universal items are a rubric's own: fewer than 1,000")
+    literal = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(i.__fields__, i, strict=True))) for i in listed)) if listed else F.array().cast(items.schema["items"].dataType)
+    every = cases.select("test_id", F.explode(literal).alias("i")).select("test_id", "i.*")
+    tagged = cases.select("test_id", F.explode(F.array_distinct("cannot_targets")).alias("tag")).join(broadcast_if_few(by_tag), "tag").select("test_id", "item_id", "weight")
     return every.unionByName(tagged)
 
 
@@ -133,8 +136,8 @@ def picked(pairs: DataFrame, cases: DataFrame, key: str, active: Column) -> Data
 
 
 def same_order(stored: DataFrame, current: DataFrame, key: str, order: str) -> DataFrame:
-    """Whether stored ids are the current ones in the current order, place by place."""
-    place = lambda df, name: df.select(F.row_number().over(W.orderBy(order)).alias("at"), F.col(key).alias(name))
+    """Whether stored ids are the current ones in the order of a numeric column, place by place."""
+    place = lambda df, name: numbered(df, F.col(order), [key], "at").select("at", F.col(key).alias(name))
     both = place(stored, "a").join(place(current, "b"), "at", "full")
     return both.agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias("same"), F.count("*").alias("n"))
 
@@ -166,7 +169,7 @@ def spread_stats(df: DataFrame, case: str, trial: str, item: str, score: str) ->
 def rubric_breakdown(base: DataFrame, cand: DataFrame, weights: DataFrame) -> DataFrame:
     """Per item both sides' means over trials, their difference and weight; inputs have item, score."""
     mean = lambda df, name: df.groupBy("item").agg(F.avg("score").alias(name))
-    both = mean(base, "base").join(mean(cand, "cand"), "item").join(F.broadcast(weights), "item")
+    both = mean(base, "base").join(mean(cand, "cand"), "item").join(broadcast_if_few(weights), "item")
     return both.select("item", "weight", F.round("base", 6).alias("base"), F.round("cand", 6).alias("cand"), F.round(F.col("cand") - F.col("base"), 6).alias("delta"))
 
 
@@ -188,9 +191,10 @@ def sample_of(df: DataFrame, condition: Column, key: str, seed: str, n: int) ->
 
 def with_base(phrases: DataFrame, bases: DataFrame, key: str, seed: str) -> DataFrame:
     """Each phrase with one base row, chosen with replacement by hash: an equi-join on the base's number."""
-    numbered = bases.withColumn("base_at", F.row_number().over(W.orderBy(*bases.columns)) - 1)
+    # one part for each first character: bases are text templates or names
+    placed = with_places(bases, [], F.substring(F.col(bases.columns[0]).cast("string"), 1, 1), bases.columns, "base_at").withColumn("base_at", F.col("base_at") - 1)
     n = bases.count()
-    return phrases.withColumn("base_at", F.floor(unit_interval(seed, key) * n).cast("int")).join(numbered, "base_at").drop("base_at")
+    return phrases.withColumn("base_at", F.floor(unit_interval(seed, key) * n).cast("int")).join(broadcast_if_few(placed), "base_at").drop("base_at")
 
 
 def record_score(module: Column, format_ok: Column, scores: dict[str, Column]) -> Column:
@@ -201,10 +205,6 @@ def record_score(module: Column, format_ok: Column, scores: dict[str, Column]) -
     return out
 
 
-def scored_by(flags: Column) -> Column:
-    return content_module(flags)
-
-
 def profiles(ids: DataFrame, key: str, seed: str, choices: dict[str, list[str]]) -> DataFrame:
     """A value per name, each by its own hash, so that any subset of names is stable."""
     pick = lambda name, values: F.get(F.array(*map(F.lit, values)), F.floor(unit_interval(f"{seed}/{name}", key) * len(values)).cast("int"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scale import with_places
+
 
 def shuffle_key(seed: str, *keys: str) -> Column:
     """K20."""
@@ -13,7 +15,9 @@ def shuffle_key(seed: str, *keys: str) -> Column:
 
 
 def ranked(df: DataFrame, strata: list[str], seed: str, key: str, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*strata).orderBy(shuffle_key(seed, key), key)))
+    """Places in hash order. The hash's first digits cut a stratum into 256 parts, so that none is sorted in one task."""
+    order = shuffle_key(seed, key)
+    return with_places(df, strata, F.substring(order, 1, 2), [order, key], name)
 
 
 def allocation(sizes: dict[str, int], total: int, weights: dict[str, float], default: float = 0.05) -> dict[str, int]:

@@ -74,16 +74,20 @@ def render_history(entries: Column, separator: str = "\n") -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat_ws(": ", e["role"], e["content"])), separator)
 
 
-def clean_history(entries: Column, phantom: str = r"^\[system\] User clicked: ") -> Column:
-    """drops phantom user entries with their paired empty or system reply, and cuts leaked prefixes off replies."""
+def clean_history(entries: Column, phantom: str = r"^\[system\] User clicked: ", keep: tuple[str, ...] = ()) -> Column:
+    """drops phantom user entries with their paired empty or system reply, and cuts leaked prefixes off replies.
+
+    Entries are (role, content); further fields named in ``keep`` stay with them.
+    """
+    more = lambda e: [e[k].alias(k) for k in keep]
     previous = lambda i: F.get(entries, i - 1)
     fake = lambda e: (e["role"] == "user") & e["content"].rlike(phantom)
     hollow = lambda e: (e["role"] == "assistant") & ((strip(e["content"]) == "") | F.startswith(F.regexp_replace(e["content"], r"^\s+", ""), F.lit("[system]")))
     kept = F.filter(entries, lambda e, i: ~fake(e) & ~(hollow(e) & (i > 0) & F.coalesce(fake(previous(i)), F.lit(False))))
     rest = lambda c: F.regexp_replace(F.regexp_extract(F.regexp_replace(c, r"^\s+", ""), r"(?s)^.*?\n\n(.*)$", 1), r"^\s+", "")
     leaked = lambda e: (e["role"] == "assistant") & e["content"].rlike(phantom)
-    cut = F.transform(kept, lambda e: F.struct(e["role"].alias("role"), F.when(leaked(e), rest(e["content"])).otherwise(e["content"]).alias("content"), leaked(e).alias("cut")))
-    return F.transform(F.filter(cut, lambda e: ~e["cut"] | (e["content"] != "")), lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
+    cut = F.transform(kept, lambda e: F.struct(e["role"].alias("role"), F.when(leaked(e), rest(e["content"])).otherwise(e["content"]).alias("content"), *more(e), leaked(e).alias("cut")))
+    return F.transform(F.filter(cut, lambda e: ~e["cut"] | (e["content"] != "")), lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content"), *more(e)))
 
 
 def sessions_where(df: DataFrame, session: str, condition: Column) -> DataFrame:

@@ -63,15 +63,18 @@ def history_tail(spark, sf_dir):
 
 @query("history_clean", """
 with m as (select *, lag(role = 'user' and text like 'Th%') over (partition by conv_id order by turn) as after_fake from conversations),
-k as (select conv_id, turn, role, text from m where not (role = 'user' and text like 'Th%') and not (role = 'assistant' and coalesce(after_fake, false) and trim(text) = ''))
-select conv_id, count(*)::bigint as n_kept, string_agg(turn::varchar, ',' order by turn) as turns from k group by conv_id
+k as (select conv_id, turn, role = 'assistant' and text like 'Th%' as leaked, text from m where not (role = 'user' and text like 'Th%')
+  and not (role = 'assistant' and (regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' or regexp_replace(text, '^\\s+', '') like '[system]%') and coalesce(after_fake, false))),
+c as (select conv_id, turn, leaked, case when leaked then regexp_replace(regexp_extract(regexp_replace(text, '^\\s+', ''), '(?s)^.*?\\n\\n(.*)$', 1), '^\\s+', '') else text end as content from k)
+select conv_id, count(*)::bigint as n_kept, string_agg(turn::varchar, ',' order by turn) as turns, sum(length(content))::bigint as chars from c where not leaked or content <> '' group by conv_id
 """)
 def history_clean(spark, sf_dir):
     """Histories without phantom user messages (here: a literal opening) and their hollow replies."""
     df = table(spark, sf_dir, "conversations")
-    whole = df.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda e: F.struct(e["role"].alias("role"), F.when((e["role"] == "user") & F.startswith(e["content"], F.lit("Th")), e["content"]).otherwise(F.concat(F.lit("#"), e["turn"].cast("string"))).alias("content"))).alias("h"))
-    cleaned = whole.select("conv_id", turns.clean_history(F.col("h"), "^Th").alias("c")).where(F.size("c") > 0)
-    return cleaned.select("conv_id", F.size("c").cast("long").alias("n_kept"), F.array_join(F.transform("c", lambda e: F.substring(e["content"], 2, 20)), ",").alias("turns"))
+    whole = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+    cleaned = whole.select("conv_id", turns.clean_history(F.col("h"), "^Th", ("turn",)).alias("c")).where(F.size("c") > 0)
+    chars = F.aggregate("c", F.lit(0).cast("long"), lambda n, e: n + F.length(e["content"]))
+    return cleaned.select("conv_id", F.size("c").cast("long").alias("n_kept"), F.array_join(F.transform("c", lambda e: e["turn"].cast("string")), ",").alias("turns"), chars.alias("chars"))
 
 
 @query("session_quality", """
@@ -168,8 +171,14 @@ def test_ids(spark, sf_dir):
     """W9. The running number is the count before a category and conversation plus the place in it."""
     df = table(spark, sf_dir, "conversations").withColumnRenamed("role", "category")
     sizes = df.groupBy("category", "conv_id").agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(turns.W.orderBy("category", "conv_id").rowsBetween(turns.W.unboundedPreceding, -1)), F.lit(0))
-    placed = df.join(sizes.withColumn("start", start).drop("n"), ["category", "conv_id"])
+    # categories are few; a category's conversations are cut into parts of a thousand ids for their running sums
+    parts = sizes.groupBy("category", F.floor(F.col("conv_id") / 1000).alias("part")).agg(F.sum("n").alias("n"))
+    upto = lambda *order: turns.W.orderBy(*order).rowsBetween(turns.W.unboundedPreceding, -1)
+    whole = parts.groupBy("category").agg(F.sum("n").alias("n")).select("category", F.coalesce(F.sum("n").over(upto("category")), F.lit(0)).alias("first"))
+    parts = parts.select("category", "part", F.coalesce(F.sum("n").over(upto("part").partitionBy("category")), F.lit(0)).alias("second"))
+    third = F.coalesce(F.sum("n").over(upto("conv_id").partitionBy("category", "part")), F.lit(0))
+    starts = sizes.withColumn("part", F.floor(F.col("conv_id") / 1000)).withColumn("third", third).drop("n").join(parts, ["category", "part"]).join(whole, "category")
+    placed = df.join(starts.select("category", "conv_id", (F.col("first") + F.col("second") + F.col("third")).alias("start")), ["category", "conv_id"])
     at = F.col("start") + F.row_number().over(turns.W.partitionBy("category", "conv_id").orderBy("turn")) - 1
     return placed.select(F.concat_ws("_", "category", at.cast("string")).alias("test_id"), "conv_id", "turn")
 

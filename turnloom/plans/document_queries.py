@@ -128,10 +128,10 @@ def weighted_choice(spark, sf_dir):
 
 
 @query("slugs", """
-select doc_id, left(regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) as slug from documents
+select doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) as slug from documents
 """)
 def slugs(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.slug(F.left("text", F.lit(80))).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("text_sanity", r"""

@@ -239,8 +239,12 @@ def _is_file(spark, sf_dir):
 
 
 def _folder(spark, name):
-    """A fresh folder below the shared one."""
+    """A fresh folder below the shared one; only a local master may do with a temporary one."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='turnloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='turnloom-')}"
     return f"{base}/{name}-{uuid.uuid4().hex}"

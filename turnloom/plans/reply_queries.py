@@ -114,13 +114,13 @@ def plan_fold(spark, sf_dir):
 
 
 @query("user_messages", """
-select conv_id, turn, case when role = 'user' and turn % 2 = 0 then '[File: f.txt]' || chr(10) || 'body' || chr(10) || '[End of f.txt]' || chr(10) || chr(10) || left(text, 20) when role = 'user' then left(text, 20) when role = 'assistant' then '[system] User selected option: "' || role || '"' end as message from conversations
+select conv_id, turn, case when role = 'user' and turn % 2 = 0 then '[File: f.txt]' || chr(10) || 'body' || chr(10) || '[End of f.txt]' || chr(10) || chr(10) || text when role = 'user' then text when role = 'assistant' then '[system] User selected option: "' || role || '"' end as message from conversations
 """)
 def user_messages(spark, sf_dir):
     """P51, P53."""
     action = F.when(F.col("role") == "user", "message").when(F.col("role") == "assistant", "select_choice").otherwise("stop")
     file_name = F.when(F.col("turn") % 2 == 0, "f.txt")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", replies.user_message(action, F.left("text", F.lit(20)), file_name, F.lit("body"), F.col("role")).alias("message"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", replies.user_message(action, F.col("text"), file_name, F.lit("body"), F.col("role")).alias("message"))
 
 
 @query("section_progress", """

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.scale import numbered
 
 EVENT = (
     "type string, timestamp string, ts string, turn int, session_id string, form_id string, form_name string, user_message string, message string, role string, raw_text string, "
@@ -47,14 +47,23 @@ def document_rows(spark: SparkSession, path: str, key: str, row_schema: str) ->
     return text.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.from_json(F.get_json_object(LINE, f"$.{key}"), f"array<struct<{row_schema}>>")).alias("pos", "r")).select("file", "pos", "r.*")
 
 
-def scraped_scores(lines: DataFrame, order: str, pattern: str = r"\[\s*(\d+)\s*\]\s+(\S+)\s+score=([0-9.]+)") -> DataFrame:
-    """(idx, id, score) of the first contiguous run of a log that restarts at index 0; the last restart counts."""
+# Fixed value: a whole line of a score log.
+SCORE_LINE = r"^\s*\[\s*(\d+)\]\s+(\S+)\s+score=([0-9.]+)\s*$"
+
+
+def scraped_scores(lines: DataFrame, order: str, pattern: str = SCORE_LINE) -> DataFrame:
+    """(idx, id, score) of a log's first run 0, 1, 2 ...; a 0 restarts it, any other gap ends the reading for good.
+
+    ``order`` is a numeric column. A line is met with the one before it by their places, so a log is not one task's.
+    """
     hit = lines.where(F.col("value").rlike(pattern)).select(order, *(F.regexp_extract("value", pattern, k).alias(n) for k, n in ((1, "idx"), (2, "id"), (3, "score"))))
-    hit = hit.withColumns({"idx": F.col("idx").cast("int"), "score": F.col("score").cast("double")})
-    run = F.sum((F.col("idx") == 0).cast("int")).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    hit = hit.withColumn("run", run).where(F.col("run") > 0)
-    hit = hit.withColumn("last_run", F.max("run").over(W.partitionBy())).where(F.col("run") == F.col("last_run"))
-    return hit.withColumn("place", F.row_number().over(W.orderBy(order)) - 1).where(F.col("place") == F.col("idx")).select("idx", "id", "score")
+    hit = numbered(hit.withColumns({"idx": F.col("idx").try_cast("int"), "score": F.col("score").try_cast("double")}), F.col(order), [], "place")
+    before = hit.select((F.col("place") + 1).alias("place"), F.col("idx").alias("before"))
+    hit = hit.join(before, "place", "left").withColumn("fits", (F.col("idx") == 0) | F.coalesce(F.col("idx") == F.col("before") + 1, F.lit(False)))
+    end = hit.agg(F.min(F.when(~F.col("fits"), F.col("place")))).first()[0]
+    read = hit.where(F.col("place") < end) if end is not None else hit
+    start = read.agg(F.max(F.when(F.col("idx") == 0, F.col("place")))).first()[0]
+    return read.where(F.col("place") >= (start or 0)).select("idx", "id", "score")
 
 
 def scraped_steps(lines: DataFrame, order: str) -> DataFrame:
@@ -62,7 +71,7 @@ def scraped_steps(lines: DataFrame, order: str) -> DataFrame:
     dicts = F.regexp_extract_all("value", F.lit(r"\{('(?:[^{}])*)\}"), F.lit(1))
     each = lines.select(order, F.posexplode(dicts).alias("at", "body"))
     pairs = F.transform(F.regexp_extract_all("body", F.lit(r"'([^']+)':\s*'?([-+0-9.eE]+)'?"), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, r"'([^']+)'", 1).alias("k"), F.regexp_extract(p, r":\s*'?([-+0-9.eE]+)", 1).try_cast("double").alias("v")))
-    return each.select(F.row_number().over(W.orderBy(order, "at")).alias("step"), F.map_from_entries(pairs).alias("metrics"))
+    return numbered(each, F.col(order), ["at"], "step").select("step", F.map_from_entries(pairs).alias("metrics"))
 
 
 def key_value_store(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
