@@ -29,12 +29,12 @@ def _body():
 
 @query("gold_blocks", """
 select doc_id, source as a_value, lang as n_value, 2::int as n_values, 'a.' || lang || ',k,n,n' as pair_ids, lang || ',L,plain' as options,
-  'set_fields(4) + ask_choice' as summary, regexp_replace(left(replace(text, chr(10), ' '), 40), '^\\s+|\\s+$', '', 'g') as prose from documents where lang is not null and source is not null and n_chars is not null and text is not null
+  'set_fields(4) + ask_choice' as summary, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') as prose from documents where lang is not null and source is not null and n_chars is not null and text is not null
 """)
 def gold_blocks(spark, sf_dir):
     """A reply's fenced array, its values, pairs, options and summary."""
     whole = F.col("lang").isNotNull() & F.col("source").isNotNull() & F.col("n_chars").isNotNull() & F.col("text").isNotNull()
-    opening = F.left(F.translate("text", "\n", " "), F.lit(40))
+    opening = F.translate("text", "\n", " ")
     reply = F.concat(opening, F.lit("\n\n---actions---\n```json\n"), _body(), F.lit("\n```"))
     r = _docs(spark, sf_dir).where(whole).select("doc_id", reply.alias("r"))
     a = r.select("doc_id", "r", actions.parse_fenced_actions(F.col("r")).alias("a"), actions.gold_values(F.col("r")).alias("v"))
