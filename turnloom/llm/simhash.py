@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, materialise, small_arrow_batches
-from .components import connected_components
+from .components import SALTS, connected_components
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -324,9 +324,13 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4)
     if max_distance > SURE:
         links = materialise(_verified(links, per_doc, documents, words), "simhash-verified")
     labels = connected_components(links)  # node, label: only fingerprints with a link
-    rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    final = rooted.join(roots, "root").select(F.col("fp").alias("c_fp"), "root", "component_id")
+    # a component of many fingerprints meets its root in parts, so that it is not one task's
+    rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"), F.col("label").isNotNull().alias("linked"))
+    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.bool_or("linked").alias("linked"))
+    parts = F.when(F.col("linked"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    roots = roots.select(F.col("root").alias("r_root"), "component_id", F.explode(parts).alias("part"))
+    own = F.when(F.col("linked"), F.pmod(F.xxhash64("fp"), F.lit(SALTS))).otherwise(0)
+    final = rooted.join(roots, (F.col("root") == F.col("r_root")) & (own == F.col("part"))).select(F.col("fp").alias("c_fp"), "root", "component_id")
     return per_doc.join(final, per_doc["fp"] == final["c_fp"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
