@@ -201,3 +201,34 @@ def call_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "ts")
     shift = F.when(F.col("event_id") % 3 == 0, F.expr("interval 30 minutes")).when(F.col("event_id") % 3 == 1, F.expr("interval 61 minutes")).otherwise(F.expr("interval -1 minutes"))
     return live.paired_calls(e, e.withColumn("ts", F.col("ts") + shift), "event_id")
+
+
+@query("shown_groups", """
+select o_orderkey, case when o_orderkey % 4 = 3 then null when o_orderkey % 3 = 0 then 'a' else 'a,b' end as shown, case when o_orderkey % 3 <> 0 then '' when o_orderkey % 4 <> 3 then 'zz' end as unknown, case when o_orderkey % 4 = 3 then true else o_orderkey % 5 < 3 end as in_bounds from orders
+""")
+def shown_groups(spark, sf_dir):
+    """All sub-fields of a group, or the wanted ones, and whether the entry is in bounds; an unknown group shows nothing."""
+    k = F.col("o_orderkey")
+    subs = [("f", "g", 2, "b", "text", 3), ("f", "g", 1, "a", "text", 3), ("f", "g", 3, "c", "file", 3), ("f", None, 0, "top", "text", None)]
+    catalogue = spark.createDataFrame(subs, "form_id string, parent_group string, field_pos int, field_id string, type string, max_items int")
+    wanted = F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("zz")))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("f").alias("form_id"), F.when(k % 4 == 3, "h").otherwise("g").alias("group_id"), (k % 5).cast("int").alias("entry"), wanted.alias("wanted"))
+    found = progress.shown_fields(asked, catalogue)
+    return found.select("o_orderkey", F.array_join("shown", ",").alias("shown"), F.array_join("unknown", ",").alias("unknown"), "in_bounds")
+
+
+@query("variation_faults", """
+select p_partkey, case p_partkey % 7 when 0 then 'missing top-level key ''test_id''' when 1 then 'correct_answer must be object' when 2 then 'missing flag ''wants_save''' when 3 then 'field_ids and field_values must be lists'
+  when 4 then 'field_ids and field_values length mismatch' when 5 then 'source mismatch' else case when p_partkey % 2 = 0 then 'test_id should start with the seed''s' end end as fault from part
+""")
+def variation_faults(spark, sf_dir):
+    """each kind of variation breaks one rule, the last none or the rule on ids."""
+    k = F.col("p_partkey")
+    kind, own = k % 7, F.concat(F.lit("s"), k.cast("string"))
+    flags = F.struct(*(F.lit(True).alias(n) for n in ("has_new_data", "needs_choice", "wants_review")), F.when(kind != 2, F.lit(False)).alias("wants_save"), F.lit(True).alias("wants_submit"))
+    values = F.when(kind == 3, F.lit(None)).when(kind == 4, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    answer = F.struct(flags.alias("flags"), F.array(F.lit("a"), F.lit("b")).alias("field_ids"), values.alias("field_values"))
+    named = F.when(kind == 0, F.lit(None)).when((kind == 6) & (k % 2 == 0), F.concat(F.lit("other-"), own)).otherwise(F.concat(own, F.lit("-v1")))
+    v = F.struct(named.alias("test_id"), F.struct(F.lit("m").alias("user_message")).alias("input"), F.when(kind != 1, answer).alias("correct_answer"), F.when(kind == 5, "else").otherwise(F.col("p_brand")).alias("source"))
+    both = table(spark, sf_dir, "part").select("p_partkey", v.alias("v"), F.struct(own.alias("test_id"), F.col("p_brand").alias("source")).alias("seed"))
+    return both.select("p_partkey", cases.variation_fault(F.col("v"), F.col("seed")).alias("fault"))
