@@ -229,3 +229,21 @@ def test_numbering_without_one_task(spark):
         assert [(r["v"], r["k"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["at"])] == own
         assert sorted(r["at"] for r in got if r["g"] == g) == list(range(1, len(own) + 1))
     assert scale.numbered(df.limit(0), F.col("v"), ["k"], "at").collect() == []
+
+
+def test_typed_events(spark):
+    from turnloom.operators import frames
+
+    use = '{"type":"assistant","message":{"content":[{"type":"tool_use","id":"t","name":"%s"}]}}'
+    got = '{"type":"user","message":{"content":[{"type":"text"},{"type":"tool_result","tool_use_id":"t","content":"r"}]}}'
+    rows = [
+        ("a", 1, use % "one"), ("a", 2, got), ("a", 3, use % "two"), ("a", 4, got), ("b", 1, got), ("b", 2, None), ("b", 3, "[1]"), ("b", 4, "{"), ("b", 5, '{"type":"assistant"}'), ("b", 6, '{"type":"stream_event"}'),
+        ("b", 7, '{"type":"system","subtype":"x"}'), ("b", 8, '{"type":"user","message":{}}'), (None, 1, '{"type":"result","subtype":"error"}'), (None, 2, "{}"),
+    ]
+    found = frames.typed_events(spark.createDataFrame(rows, "s string, n int, frame string"), "s", "n")
+    told = {(r["session"], r["order"]): (r["kind"], r["label"], r["name"], r["body"]) for r in found.collect()}
+    assert told == {
+        ("a", 1): ("tool_use", None, "one", None), ("a", 2): ("tool_result", None, "one", "r"), ("a", 3): ("tool_use", None, "two", None), ("a", 4): ("tool_result", None, "two", "r"), ("b", 1): ("tool_result", None, "unknown", "r"),
+        ("b", 7): ("raw", "system/x", None, None), ("b", 8): ("user_message", None, None, None), (None, 1): ("result", "error", None, None), (None, 2): ("raw", None, None, None),
+    }
+    assert frames.typed_events(spark.createDataFrame([], "s string, n int, frame string"), "s", "n").collect() == []
