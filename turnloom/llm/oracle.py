@@ -47,4 +47,20 @@ f as (select payload_digest, min(page_id) as first_id from p where payload_bytes
 select page_id, payload_bytes, payload_digest, case when page_id <> first_id then 'revisit' else 'response' end as record_type, case when page_id <> first_id then first_id end as refers_to from p left join f using (payload_digest)
 """
 
-ORACLE = {"op1_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op9_warc": WARC}
+DIVERGENCE = f"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER} as t from documents),
+w as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as (select lang, term from w group by 1, 2 having count(distinct rid) >= 30),
+v as (select lang, (select count(*) from k where k.lang = l.lang)::hugeint as v from (select distinct lang from d) l),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*)::hugeint as n from w join k using (lang, term) group by 1, 2, 3),
+full_c as (select g.lang, g.source, k.term, coalesce(n, 0)::hugeint as n from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * v) as p from full_c join v using (lang)),
+u as (select lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang) + 5 * v) as q from (select lang, term, sum(n)::hugeint as n from full_c group by 1, 2) join v using (lang)),
+pairs as (select a.lang, a.source, b.source as item, coalesce((select sum(abs(x.p - y.p)) from p x join p y on x.term = y.term and x.lang = y.lang where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source),
+terms as (select lang, source, term as item, (p - q)::bigint as value from p join u using (lang, term) where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+union all select * from (select lang, source, 'term' as part, item, value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from terms) where rank <= 50
+"""
+
+ORACLE = {"op13_divergence": DIVERGENCE, "op1_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op9_warc": WARC}
