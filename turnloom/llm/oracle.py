@@ -63,4 +63,19 @@ select lang, source, 'pair' as part, item, value, (row_number() over (partition
 union all select * from (select lang, source, 'term' as part, item, value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from terms) where rank <= 50
 """
 
-ORACLE = {"op13_divergence": DIVERGENCE, "op1_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op9_warc": WARC}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""
+with d as (select row_number() over () as rid, doc_id, {_TERMS} as w from documents),
+s as (select count(*)::bigint as n, sum(len(w))::bigint as l from d where len(w) > 0),
+p as (select rid, term, count(*)::bigint as tf from (select rid, unnest(w) as term from d) group by 1, 2),
+df as (select term, count(*)::bigint as df from p group by 1),
+q as (select item_id, term, count(*)::bigint as qtf from (select item_id, unnest({_TERMS}) as term from benchmark) group by 1, 2),
+w as (select item_id, term, qtf, floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)))::bigint as w from q join df using (term), s),
+m as (select rid, doc_id, 100 - 25 + (25 * len(w)::bigint * n) // l as m from d, s where len(w) > 0),
+x as (select item_id, rid, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from w join p using (term) join m using (rid) group by 1, 2),
+r as (select item_id, doc_id, score, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank from x join m using (rid) where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 20
+"""
+
+ORACLE = {"op12_lexical": LEXICAL, "op13_divergence": DIVERGENCE, "op1_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op9_warc": WARC}
