@@ -78,4 +78,16 @@ r as (select item_id, doc_id, score, (row_number() over (partition by item_id or
 select item_id, rank, doc_id, score from r where rank <= 20
 """
 
-ORACLE = {"op12_lexical": LEXICAL, "op13_divergence": DIVERGENCE, "op1_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op9_warc": WARC}
+MINHASH = f"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select distinct rid, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end as s from (select rid, w, unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) as i from d)),
+n as (select rid, count(*)::bigint as n from g group by 1),
+i as (select a.rid as a, b.rid as b, count(*)::bigint as shared from g a join g b on a.s = b.s and a.rid < b.rid group by 1, 2),
+l as (select a, b from i join n x on x.rid = a join n y on y.rid = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+r as (select rid, rid as other from d union select r.rid, e.b from r join e on r.other = e.a),
+c as (select r.rid, min(d.doc_id) as component_id from r join d on d.rid = r.other group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d join c using (rid) left join n using (rid)
+"""
+
+ORACLE = {"op11_minhash": MINHASH, "op12_lexical": LEXICAL, "op13_divergence": DIVERGENCE, "op1_decontaminate": DECONTAMINATE, "op7_secrets": SECRETS, "op9_warc": WARC}

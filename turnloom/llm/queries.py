@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, divergence, lexical_search, mixing, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
+from . import ann, decontaminate, divergence, lexical_search, minhash, mixing, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_minhash": op11_minhash,
     "op12_lexical": op12_lexical,
     "op13_divergence": op13_divergence,
 }
