@@ -58,6 +58,14 @@ def test_toxicity_on_held_out(spark):
     assert len(rows) > 200 and sum(right) / len(right) > 0.97
 
 
+def test_the_fitted_sample_is_bounded_where_an_id_repeats(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 7}") for k in range(500)] + [(k, f"other {k}") for k in range(2, 40)] + [(None, "x"), (50, None)], "doc_id long, text string").repartition(6)
+    votes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(3).cast("long").alias("votes"))
+    for limit in (10, 1000):
+        got = toxicity.fit_sample(docs, votes, limit)
+        assert got.count() == min(limit, 40) and got.select("order").distinct().count() == min(limit, 40)
+
+
 def test_correlated_votes_share_their_weight():
     n = toxicity.CLEAN + 1
     weight, together = np.zeros(n), np.zeros((n, n))

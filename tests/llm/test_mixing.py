@@ -67,6 +67,19 @@ def test_mix_repeats_rows_as_allotted(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == want
 
 
+def test_mix_takes_of_equal_rows_what_allot_takes(spark):
+    rows = [(None, "one two three four five six seven eight", "a", k) for k in range(300)] + [(None, "one two three four five six seven eight", "b", 0)] * 100 + [(k, "w " * (1 + k % 9), "b", 1) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, least int").repartition(5)
+    want = Counter()
+    for r in mixing.allot(docs).collect():
+        want[r["source"], r["doc_id"]] += r["mix_copies"]
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r["source"], r["doc_id"]) for r in got) == +want
+    assert 0 < want["a", None] < 600 and max(Counter(r["least"] for r in got if r["source"] == "a").values()) <= 2
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = mixing.allot(docs).collect()

@@ -202,18 +202,38 @@ def mix(documents: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: the documents' own columns, each row as often as its copies.
 
     The copies are dealt on narrow rows. In a (source, size) pair those with one copy more come first in the order of slice
-    and hash, so a pair's last such row tells for each document what it gets, where it is: no text is shuffled. Rows that
-    equal that last one in id and text get the copy too.
+    and hash, so a pair's last such row tells for each document what it gets, where it is: no text is shuffled. Where only
+    some of the rows that equal that last one in id and text get the copy, these rows are written and numbered by file.
     """
     slices = settings.get("slices", SLICES)
     narrow = _allotted(documents.select("doc_id", "source", "text"), **settings).select("source_key", "mix_size", "mix_copies", "mix_order")
-    place = F.struct(F.pmod("mix_order", F.lit(slices)).cast("int").alias("slice"), F.col("mix_order").alias("order"))
-    dealt = narrow.groupBy("source_key", "mix_size").agg(F.min("mix_copies").alias("least"), F.max(F.struct("mix_copies", place.alias("place"))).alias("top"))
-    dealt = dealt.select(F.col("source_key").alias("d_key"), F.col("mix_size").alias("d_size"), "least", F.when(F.col("top.mix_copies") > F.col("least"), F.col("top.place")).alias("last"))
-    dealt = broadcast_if_small(materialise(dealt, "mix-dealt"), DEALT_ROWS)
+    equal = narrow.groupBy("source_key", "mix_size", "mix_order").agg(F.min("mix_copies").alias("low"), F.max("mix_copies").alias("high"), F.count("*").alias("n"), F.sum("mix_copies").alias("copies"))
+    top = F.struct("high", F.struct(F.pmod("mix_order", F.lit(slices)).cast("int").alias("slice"), F.col("mix_order").alias("order")).alias("place"), "n", "copies")
+    dealt = equal.groupBy("source_key", "mix_size").agg(F.min("low").alias("least"), F.max(top).alias("top"))
+    more = F.col("top.high") > F.col("least")
+    dealt = dealt.select(F.col("source_key").alias("d_key"), F.col("mix_size").alias("d_size"), "least", F.when(more, F.col("top.place")).alias("last"), (F.col("top.copies") - F.col("top.n") * F.col("least")).alias("extra"), (more & (F.col("top.copies") < F.col("top.n") * F.col("top.high"))).alias("some"))
+    dealt = materialise(dealt, "mix-dealt")
+    few = broadcast_if_small(dealt, DEALT_ROWS)
     order = F.xxhash64(documents["doc_id"], documents["text"])
     own = F.struct(F.pmod(order, F.lit(slices)).cast("int").alias("slice"), order.alias("order"))
-    met = documents.join(dealt, (_source_key(documents) == dealt["d_key"]) & (size_of(documents["text"]) == dealt["d_size"]))
-    copies = dealt["least"] + F.when(own <= dealt["last"], 1).otherwise(0)
+    met = documents.join(few, (_source_key(documents) == few["d_key"]) & (size_of(documents["text"]) == few["d_size"]))
+    row = F.struct(*(documents[c].alias(c) for c in documents.columns)).alias("row")
+    split = few["some"] & (own == few["last"])
+    plain = met.where(~F.coalesce(split, F.lit(False))).select(row, (few["least"] + F.when(own <= few["last"], 1).otherwise(0)).alias("copies"))
+    if not dealt.where("some").isEmpty():
+        plain = plain.unionByName(_numbered_copies(materialise(met.where(split).select(row, few["d_key"], few["d_size"], few["least"], few["extra"]), "mix-equal")))
     copy = fresh(documents, "mix_copy")
-    return met.select(*(documents[c] for c in documents.columns), F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(copy)).drop(copy)
+    return plain.select("row.*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias(copy)).drop(copy)
+
+
+def _numbered_copies(rows: DataFrame) -> DataFrame:
+    """(row, copies) of written rows: in each (d_key, d_size) the first ``extra`` get one copy more than ``least``.
+
+    A row's place is its place in its file and the rows in the files before.
+    """
+    pair = ["d_key", "d_size"]
+    placed = rows.select("row", *pair, "least", "extra", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = placed.groupBy(*pair, "file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(*pair).orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("before") + F.row_number().over(W.partitionBy(*pair, "file").orderBy("at"))
+    met = placed.join(broadcast_if_small(materialise(before.drop("n"), "mix-before"), DEALT_ROWS), [*pair, "file"])
+    return met.select("row", (F.col("least") + F.when(place <= F.col("extra"), 1).otherwise(0)).alias("copies"))

@@ -252,6 +252,15 @@ def _fit_task(*model):
     return task
 
 
+def fit_sample(documents: DataFrame, votes: DataFrame, fit_rows: int) -> DataFrame:
+    """(order, text, votes) of at most ``fit_rows`` documents, by hash, the same on every run; one text of each id."""
+    chosen = votes.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("s_id")).agg(F.max(F.struct("text_hash", "votes")).alias("s")).orderBy(F.xxhash64("s_id"), "s_id").limit(fit_rows).select("s_id", "s.*")
+    texts = documents.select("doc_id", "text")
+    met = texts.join(F.broadcast(chosen), (texts["doc_id"] == chosen["s_id"]) & (F.xxhash64("text") == chosen["text_hash"]))
+    # grouped before it goes to one task, so that no task scans more than its share of the documents
+    return met.groupBy("s_id", "votes").agg(F.max("text").alias("text")).select(F.xxhash64("s_id").alias("order"), "text", "votes")
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, max_rows: int = MAX_ROWS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """The classifier (buckets, weights, bias)."""
     small_arrow_batches(documents.sparkSession)
@@ -264,16 +273,12 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds:
     lexicon = np.array(first["lexicon"], np.int64)
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold))
     known = usable.groupBy(F.col("doc_id").alias("l_id")).agg(F.round(F.avg(label)).cast("int").alias("known"))
-    votes = documents.select("doc_id", F.arrow_udf(voter(lexicon), "long")(F.col("text")).alias("votes"))
+    votes = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.arrow_udf(voter(lexicon), "long")(F.col("text")).alias("votes"))
     votes = materialise(votes, "votes")
     patterns = materialise(votes.join(known, votes["doc_id"] == known["l_id"], "left").groupBy("votes", "known").agg(F.count("*").alias("n")), "vote-patterns")
     believed = label_model(patterns, prior)
-    # the sample for the classifier: bounded, by hash, the same on every run
-    order = F.xxhash64("doc_id")
-    chosen = votes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("votes").alias("votes")).orderBy(order, "doc_id").limit(fit_rows).select(F.col("doc_id").alias("s_id"), "votes")
-    texts = documents.select("doc_id", "text")
-    sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["s_id"]).select(order.alias("order"), "text", "votes").coalesce(1)
-    model = sample.mapInArrow(_fit_task(*believed), "buckets array<long>, weights array<double>, bias double").first()
+    sample = fit_sample(documents, votes, fit_rows)
+    model = sample.coalesce(1).mapInArrow(_fit_task(*believed), "buckets array<long>, weights array<double>, bias double").first()
     if not model:
         return none
     return np.array(model["buckets"], np.int64), np.array(model["weights"]), float(model["bias"])
