@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators import aggregates, generation, merging, sampling, scale, turns, validation, vectors
+from turnloom.operators import aggregates, generation, json_merge, merging, sampling, scale, turns, validation, vectors
 from turnloom.session import configure
 
 
@@ -159,7 +159,7 @@ def test_merges(spark):
     configure(spark)
     docs = [json.dumps(d) for d in ({"a": {"x": 1, "y": [1, 2]}, "b": 1}, {"a": {"y": [3], "z": None}}, {"b": {"c": 2}})]
     df = spark.createDataFrame([("k", i, d) for i, d in enumerate(docs)], "k string, i int, doc string")
-    assert json.loads(merging.deep_merge(df, "k", "i", "doc").first()["merged"]) == {"a": {"x": 1, "y": [3], "z": None}, "b": {"c": 2}}
+    assert json.loads(json_merge.deep_merge(df, "k", "i", "doc").first()["merged"]) == {"a": {"x": 1, "y": [3], "z": None}, "b": {"c": 2}}
     records = spark.createDataFrame([("e", "id1", 1), ("e", "id2", 3), ("e", "id3", 2), ("f", "id4", 1)], "email string, id string, at int")
     assert {r["email"]: (r["id"], r["kept_id"]) for r in merging.upsert(records, "email", "id", "at").collect()} == {"e": ("id2", "id1"), "f": ("id4", "id4")}
     kept, missing = merging.delete(records, spark.createDataFrame([("f",), ("g",)], "email string"), "email")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ def plain(rows, names):
     def text(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
             return "null"
-        return f"{float(v):.6g}" if isinstance(v, float) else str(v)
+        return f"{float(v):.6g}" if isinstance(v, (float, Decimal)) else str(v)
 
     return sorted(tuple(text(r[k]) for k in order) for r in rows)
 

@@ -38,30 +38,6 @@ def swap_keys(values: Column, mapping: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.coalesce(F.element_at(mapping, k), v))
 
 
-def deep_merge(df: DataFrame, key: str, order: str, document: str) -> DataFrame:
-    """Objects merge recursively; later scalars, arrays and nulls replace. One JSON text per key.
-
-    The documents of one key are folded in order; keys with many versions should be compacted beforehand.
-    """
-    import json
-
-    import pandas as pd
-
-    def merge(a: object, b: object) -> object:
-        if isinstance(a, dict) and isinstance(b, dict):
-            return {**a, **{k: merge(a[k], v) if k in a else v for k, v in b.items()}}
-        return b
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: object = {}
-        for text in pdf.sort_values(order)[document]:
-            out = merge(out, json.loads(text))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "merged": [json.dumps(out, sort_keys=True)]})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, order, document).groupBy(key).applyInPandas(fold, f"{key} {kind}, merged string")
-
-
 def mergeable(entries: DataFrame, group: str, source: str) -> DataFrame:
     """Groups of at least two entries from one source."""
     return entries.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(source).alias("n_sources")).withColumn("mergeable", (F.col("n") >= 2) & (F.col("n_sources") == 1))

@@ -164,6 +164,21 @@ def stuck_runs(spark, sf_dir):
     return turns.stuck(_events(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("event_type")).select("event_id", "repeats", "stuck")
 
 
+@query("session_ends", """
+with recursive o as (select user_id, row_number() over (partition by user_id order by event_id) as k, event_type as seen, value > 250 as stops, event_id % 97 = 0 as failed from events),
+f as (select distinct user_id, 0::bigint as k, '' as seen, 0::bigint as run, null::varchar as reason from events
+  union all select o.user_id, o.k, o.seen, case when o.seen = f.seen then f.run + 1 else 1 end,
+    case when failed then 'error' when stops then 'user_stop' when o.seen = f.seen and f.run + 1 >= 3 then 'stuck_loop' when o.k >= 25 then 'max_turns' end
+  from f join o on o.user_id = f.user_id and o.k = f.k + 1 where f.reason is null)
+select user_id, count(*)::bigint as n_turns, any_value(f.k) as end_turn, any_value(f.reason) as reason from events left join (select user_id, k, reason from f where reason is not null) f using (user_id) group by user_id
+""")
+def session_ends_(spark, sf_dir):
+    """Why each user's events end as a session: failure, stop, a third repeat or the limit."""
+    from ..operators.session_ends import session_ends
+
+    return session_ends(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type"), F.lit(""), F.col("value") > 250, F.col("event_id") % 97 == 0, 3, 25)
+
+
 @query("latest_record", """
 select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1
 """)
@@ -195,7 +210,7 @@ def stream_windows(spark, sf_dir):
     from ..streaming import live
 
     stream = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return live.drained(live.windowed(stream, "ts", ["event_type"], "value"), "", _folder(spark, "windows"))
+    return live.drained(live.windowed(stream, "ts", ["event_type"], "value"), _folder(spark, "windows"), _folder(spark, "windows-log"))
 
 
 @query("stream_latest", """

@@ -177,7 +177,7 @@ def vault_delete(spark, sf_dir):
 
 
 @query("owners", """
-select c_custkey, lower(trim(c_name)) as owner, case when c_custkey % 2 = 0 then 'swapped' else c_mktsegment end as segment, c_mktsegment || ',x' as both_lists, true as same_bag, case when c_custkey % 4 = 0 then 0.0 else 1.0 end as silent from customer
+select c_custkey, lower(trim(c_name)) as owner, case when c_custkey % 2 = 0 then 'swapped' else c_mktsegment end as segment, c_mktsegment || ',x' as both_lists, true as same_bag, (case when c_custkey % 4 = 0 then 0 else 1 end)::double as silent from customer
 """)
 def owners(spark, sf_dir):
     """U5, U7, U12, U17, M3."""

@@ -185,11 +185,26 @@ def id_notations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.dotted_to_dashed(dotted).alias("dashed"), ids.starred(dotted).alias("starred"), ids.group_parts(dotted)["entry"].alias("entry"))
 
 
-@query("deep_merge")
+@query("deep_merge", """
+with o as (select o_custkey as k, o_orderkey as i, o_orderstatus as st, o_orderpriority as pr, o_orderkey // 4 % 3 as kind, 'm' || (o_orderkey % 5) as m from orders),
+l as (select k, max(i) filter (where kind = 0) as scalar_at, max(i) filter (where kind = 1) as object_at, arg_max(st, i) as st, arg_max(pr, i) as pr, arg_max(pr, i) filter (where kind = 0) as said from o group by k),
+b as (select k, '{' || string_agg('"' || st || '":"' || i || '"', ',' order by st) || '}' as t from (select k, st, max(i) as i from o group by all) group by k),
+n as (select k, '{' || string_agg('"' || m || '":' || i, ',' order by m) || '}' as t from (select o.k, m, max(i) as i from o join l using (k) where kind = 1 and i > coalesce(scalar_at, -1) group by all) group by k)
+select l.k as o_custkey, '{"by_status":' || b.t || ',"last":{"priority":"' || pr || '","status":"' || st || '"}' || case when coalesce(object_at, -1) > coalesce(scalar_at, -1) then ',"note":' || n.t when scalar_at is not null then ',"note":"' || said || '"' else '' end || '}' as merged
+from l join b using (k) left join n using (k)
+""")
 def deep_merge(spark, sf_dir):
-    """Order documents of each customer, merged recursively; SQL has no recursive merge."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("last"), F.create_map("o_orderstatus", F.col("o_orderkey").cast("string")).alias("by_status"))).alias("doc"))
-    return merging.deep_merge(o, "o_custkey", "o_orderkey", "doc")
+    """Order documents of each customer, merged recursively; a note is a text in some and an object in others."""
+    from ..operators import json_merge
+
+    kind, name = F.floor(F.col("o_orderkey") / 4) % 3, F.concat(F.lit("m"), (F.col("o_orderkey") % 5).cast("string"))
+    fields = [
+        F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("last"),
+        F.create_map("o_orderstatus", F.col("o_orderkey").cast("string")).alias("by_status"),
+    ]
+    doc = F.when(kind == 0, F.to_json(F.struct(*fields, F.col("o_orderpriority").alias("note")))).when(kind == 1, F.to_json(F.struct(*fields, F.create_map(name, "o_orderkey").alias("note")))).otherwise(F.to_json(F.struct(*fields)))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", doc.alias("doc"))
+    return json_merge.deep_merge(o, "o_custkey", "o_orderkey", "doc")
 
 
 @query("normalised_values", """
