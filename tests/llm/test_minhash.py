@@ -66,8 +66,10 @@ def test_equals_brute_force(spark, monkeypatch):
     want = brute(docs)
     assert found(df) == want
     assert len({r[2] for r in want}) < len(want) - 50
-    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)  # all pairs by the last step
-    monkeypatch.setattr(minhash, "CHUNK", 3)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)  # all links by families
+    assert found(df) == want
+    for name, value in (("CHUNK", 3), ("HOT_KEY", 2), ("BLOCK_SHINGLES", 300)):
+        monkeypatch.setattr(minhash, name, value)
     assert found(df) == want
     assert found(df, 2) == brute(docs, 2)
 
