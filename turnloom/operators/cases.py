@@ -211,7 +211,12 @@ def profiles(ids: DataFrame, key: str, seed: str, choices: dict[str, list[str]])
     return ids.select(key, *(pick(n, v).alias(n) for n, v in choices.items()))
 
 
+def tag_counts(seeds: DataFrame) -> DataFrame:
+    """Seeds (cannot_targets: tags) per tag; seeds without tags count under null."""
+    return seeds.select(F.explode_outer("cannot_targets").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 def seed_table(spark, rows: list[tuple], schema: str) -> tuple[DataFrame, DataFrame]:
     """A literal table of seeds (test_id, source, cannot_targets ...) and its counts per tag."""
     seeds = spark.createDataFrame(rows, schema)
-    return seeds, seeds.select(F.explode_outer("cannot_targets").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return seeds, tag_counts(seeds)

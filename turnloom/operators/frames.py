@@ -82,3 +82,61 @@ def typed_events(frames: DataFrame, session: str, order: str, frame: str = "fram
     named = by_id.withColumn("name", F.when(F.col("kind") == "tool_result", F.coalesce(used, F.lit("unknown"))).otherwise(F.col("name")))
     parts = by_slot.withColumn("name", held).where(F.col("kind") == "tool_input_delta")
     return rest.unionByName(named).unionByName(parts).drop("slot")
+
+
+def _frames_of(frames: DataFrame, session: str, order: str, frame: str) -> DataFrame:
+    return frames.select(F.col(session).alias("session"), F.col(order).alias("order"), F.try_parse_json(frame).alias("_v")).where(_is(F.col("_v"), "OBJECT"))
+
+
+def _json(v: Column, path: str) -> Column:
+    return F.to_json(_get(v, path, "variant"))
+
+
+def session_inits(frames: DataFrame, session: str, order: str, frame: str = "frame") -> DataFrame:
+    """What sessions began with, a row per ``system/init`` frame.
+
+    Tools and servers are empty arrays and the mode is ``default`` where a frame lacks them; agents and skills are null then.
+    """
+    v = F.col("_v")
+    listed = lambda path: _get(v, path, "array<string>")
+    begun = _frames_of(frames, session, order, frame).where((_get(v, "$.type") == "system") & (_get(v, "$.subtype") == "init"))
+    return begun.select(
+        "session", "order", _get(v, "$.session_id").alias("session_id"), _get(v, "$.model").alias("model"), F.coalesce(listed("$.tools"), F.array().cast("array<string>")).alias("tools"),
+        F.coalesce(_get(v, "$.mcp_servers", "array<struct<name:string,status:string>>"), F.array().cast("array<struct<name:string,status:string>>")).alias("servers"),
+        F.coalesce(_get(v, "$.permissionMode"), F.lit("default")).alias("permission_mode"), _get(v, "$.claude_code_version").alias("version"), listed("$.agents").alias("agents"), listed("$.skills").alias("skills"),
+    )
+
+
+def session_results(frames: DataFrame, session: str, order: str, frame: str = "frame") -> DataFrame:
+    """How sessions ended, a row per ``result`` frame.
+
+    Missing numbers are 0, a missing flag false, a missing subtype ``success``, missing usage an empty object; errors and a structured output stay null.
+    Usage and the structured output are JSON texts.
+    """
+    v = F.col("_v")
+    number = lambda path, kind: F.coalesce(_get(v, path, kind), F.lit(0).cast(kind))
+    ended = _frames_of(frames, session, order, frame).where(_get(v, "$.type") == "result")
+    return ended.select(
+        "session", "order", F.coalesce(_get(v, "$.subtype"), F.lit("success")).alias("subtype"), _get(v, "$.session_id").alias("session_id"), F.coalesce(_get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
+        F.coalesce(_get(v, "$.result"), F.lit("")).alias("result"), number("$.duration_ms", "long").alias("duration_ms"), number("$.duration_api_ms", "long").alias("duration_api_ms"), number("$.total_cost_usd", "double").alias("cost_usd"),
+        number("$.num_turns", "long").alias("num_turns"), F.coalesce(_json(v, "$.usage"), F.lit("{}")).alias("usage"), F.coalesce(_json(v, "$.modelUsage"), F.lit("{}")).alias("model_usage"),
+        _json(v, "$.structured_output").alias("structured_output"), _get(v, "$.errors", "array<string>").alias("errors"),
+    )
+
+
+def tool_calls(frames: DataFrame, session: str, order: str, frame: str = "frame") -> DataFrame:
+    """(session, order, pos, tool_use_id, parent_tool_use_id, name, input) of every use of a tool; the parent is null at the top."""
+    v = F.col("_v")
+    blocks = _get(v, "$.message.content", "array<variant>")
+    used = _frames_of(frames, session, order, frame).where(_get(v, "$.type") == "assistant").select("session", "order", _get(v, "$.parent_tool_use_id").alias("parent_tool_use_id"), F.posexplode(blocks).alias("pos", "b"))
+    b = F.col("b")
+    return used.where(_get(b, "$.type") == "tool_use").select("session", "order", "pos", _get(b, "$.id").alias("tool_use_id"), "parent_tool_use_id", _get(b, "$.name").alias("name"), F.coalesce(_json(b, "$.input"), F.lit("{}")).alias("input"))
+
+
+def user_inputs(frames: DataFrame, session: str, order: str, frame: str = "frame") -> DataFrame:
+    """(session, order, content, synthetic) of user frames that bring no tool's result; content that is no text is JSON."""
+    v = F.col("_v")
+    blocks = F.coalesce(_get(v, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+    brings = F.exists(blocks, lambda b: F.coalesce(_get(b, "$.type") == "tool_result", F.lit(False)))
+    said = _frames_of(frames, session, order, frame).where((_get(v, "$.type") == "user") & ~brings)
+    return said.select("session", "order", _body(_get(v, "$.message.content", "variant")).alias("content"), F.coalesce(_get(v, "$.isSynthetic", "boolean"), F.lit(False)).alias("synthetic"))

@@ -52,13 +52,13 @@ def session_ends(turns: DataFrame, session: str, turn: str, intent: Column, scre
     fails, halts = F.coalesce(failed, F.lit(False)), F.coalesce(stops, F.lit(False))
     one = F.lit(1)
     unit = _summary(one, seen, one, seen, one, F.when(fails | halts, 1), F.when(fails, "error").when(halts, "user_stop"))
-    rows = turns.where(F.col(turn).isNotNull()).select(F.col(session), F.col(turn).cast("long").alias("at"), unit.alias("s"))
+    rows = turns.where(F.col(turn).isNotNull()).select(F.col(session).alias("_session"), F.col(turn).cast("long").alias("_at"), unit.alias("_s"))
     zero = F.lit(0)
     empty = _summary(zero, F.lit(""), zero, F.lit(""), zero, F.lit(None), F.lit(None).cast("string")).cast(_SUMMARY)
-    fold = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), empty, lambda a, b: composed(a, b, stuck).cast(_SUMMARY))
+    fold = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), empty, lambda a, b: composed(a, b, stuck).cast(_SUMMARY))
     for level in range(LEVELS):
-        part = F.floor(F.col("at") / PART).alias("at")
-        rows = rows.groupBy(session, *([part] if level < LEVELS - 1 else [])).agg(fold.alias("s"))
-    s = F.col("s")
+        part = F.floor(F.col("_at") / PART).alias("_at")
+        rows = rows.groupBy("_session", *([part] if level < LEVELS - 1 else [])).agg(fold.alias("_s"))
+    s = F.col("_s")
     ended = s["end_at"].isNotNull() & (s["end_at"] <= most)
-    return rows.select(session, s["n"].alias("n_turns"), F.when(ended, s["end_at"]).when(s["n"] >= most, most).cast("long").alias("end_turn"), F.when(ended, s["reason"]).when(s["n"] >= most, "max_turns").alias("reason"))
+    return rows.select(F.col("_session").alias(session), s["n"].alias("n_turns"), F.when(ended, s["end_at"]).when(s["n"] >= most, most).cast("long").alias("end_turn"), F.when(ended, s["reason"]).when(s["n"] >= most, "max_turns").alias("reason"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import basket_queries, case_queries, conversation_queries, document_queries, event_queries, frame_queries, function_queries, record_queries, reply_queries, source_queries, stream_queries  # noqa: F401
+from . import basket_queries, case_queries, conversation_queries, document_queries, event_queries, frame_queries, function_queries, generation_queries, record_queries, reply_queries, source_queries, store_queries, stream_queries  # noqa: F401
 from .registry import ORACLE, QUERIES, Query
 
 

@@ -200,13 +200,3 @@ def quota_plan(spark, sf_dir):
     c = _docs(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("n_file"), F.count_if(F.col("lang") != "en").alias("n_other"))
     q = c.select("source", sampling.quota(F.col("n_file"), F.col("n_other"), 50, 0.3).alias("q"))
     return q.select("source", *(F.col(f"q.{n}").cast("long").alias(n) for n in ("synthetic", "file", "natural")))
-
-
-@query("generated_messages")
-def generated_messages(spark, sf_dir):
-    """Hash-driven messages; rows only, as the templates are picked by a hash that SQL lacks."""
-    templates = spark.createDataFrame([("lang", "I write {value}"), ("lang", "My language is {value}"), ("source", "It came from {value}")], "field_id string, template string")
-    pair = lambda n: F.struct(F.lit(n).alias("field_id"), F.col(n).alias("value"))
-    values = _docs(spark, sf_dir).select(F.col("doc_id").alias("record_id"), F.explode(F.array(pair("lang"), pair("source"))).alias("x")).select("record_id", "x.*")
-    made = generation.message_from(templates, values, "g3")
-    return made.groupBy("record_id").agg(generation.connected(F.transform(F.array_sort(F.collect_list(F.struct("field_id", "message"))), lambda x: x["message"])).alias("message"))
