@@ -104,6 +104,26 @@ def test_parts_of_a_long_text_give_the_features_of_the_whole(monkeypatch):
     assert all_features() == whole
 
 
+def test_grams_are_of_whole_characters():
+    texts = ["привет", "字海山", "aé字😀b", "", "ab"]
+    raw, offsets = hashed_text.string_buffers(pa.array(texts))
+    found = {}
+    for piece in hashed_text.pieces(offsets):
+        for g in (2, 3):
+            doc, bucket, at = next(iter(hashed_text.features(raw, piece, 40, (g,), (), hashed_text.NOT_SPACE, False)))
+            for d, b, i in zip(doc.tolist(), bucket.tolist(), at.tolist(), strict=True):
+                found.setdefault((g, d), []).append((i - int(offsets[d]), b))
+    for d, text in enumerate(texts):
+        for g in (2, 3):
+            starts = [len(text[:k].encode()) for k in range(len(text) - g + 1)]
+            assert [i for i, _ in found.get((g, d), [])] == starts
+    # one gram has one bucket wherever it stands, and others have others
+    raw, offsets = hashed_text.string_buffers(pa.array(["字海", "x字海", "海字"]))
+    doc, bucket, at = next(iter(hashed_text.features(raw, next(iter(hashed_text.pieces(offsets))), 40, (2,), (), hashed_text.NOT_SPACE, False)))
+    same = {(int(d), int(i) - int(offsets[d])): int(b) for d, b, i in zip(doc, bucket, at, strict=True)}
+    assert same[0, 0] == same[1, 1] != same[2, 0]
+
+
 def test_long_runs_are_read_to_their_end(spark, monkeypatch):
     bases = ["字" * 10, "漢" * 75, "ab" * 120]
     for base in bases:

@@ -91,7 +91,7 @@ def _scatter(h: np.ndarray, salt: int, bits: int) -> np.ndarray:
 def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] = (), prefixes: tuple[int, ...] = (), word_bytes: np.ndarray = _WORD, lower: bool = True, echoes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document, bucket, byte where it starts) of all features, one kind at a time.
 
-    Kinds: byte n-grams within a document, words, word prefixes of so many bytes and, with ``echoes``, the one bucket of
+    Kinds: n-grams of characters within a document, words, word prefixes of so many bytes and, with ``echoes``, the one bucket of
     all word pairs that repeat a word, once per byte of it. A word counts by its first ``OVERLAP`` bytes. In a longer one,
     as in scripts without spaces, every further character starts prefixes as a word does, so all of it is read.
     """
@@ -108,16 +108,16 @@ def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] =
     ends = np.repeat((starts[1:] - a) if piece.readable == piece.end else np.array([n]), lengths)
     wide = data.astype(np.uint64)
     with np.errstate(over="ignore"):
-        h, done = wide, 1
-        for g in sorted(grams):
-            while done < g:
-                h = h[:-1] * _P + wide[done:] + np.uint64(1)
-                done += 1
-            m = min(len(h), own)
-            ok = np.flatnonzero(np.arange(m) + g <= ends[:m])
-            yield doc[ok], _scatter(h[ok], g, bits), ok + a
-            if m < 2:
-                break
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * _power("p", _P, n), dtype=np.uint64)])
+        if grams:
+            first = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)  # where characters start
+            mine = int(np.searchsorted(first, own))
+            for g in sorted(grams):
+                m = min(mine, len(first) - g)
+                begin, stop = first[:m], first[g : g + m]
+                ok = stop <= ends[begin]
+                begin, stop = begin[ok], stop[ok]
+                yield doc[begin], _scatter((total[stop] - total[begin]) * _power("inverse", _P_INV, n)[begin], g, bits), begin + a
         inside = word_bytes[data]
         edge = np.zeros(n, bool)
         edge[starts[:-1][starts[:-1] - a < n] - a] = True
@@ -127,7 +127,6 @@ def features(raw: np.ndarray, piece: Piece, bits: int, grams: tuple[int, ...] =
         at = np.flatnonzero((inside & (~before | edge))[:own])
         stop = np.concatenate([np.flatnonzero(~inside | edge), [n]])
         run_end = stop[np.searchsorted(stop, at, "right")]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * _power("p", _P, n), dtype=np.uint64)])
         if prefixes:
             long = run_end - at > OVERLAP
             runs = list(zip(at[long].tolist(), run_end[long].tolist(), strict=True))

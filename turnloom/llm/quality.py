@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words, byte n-grams and the pair of a word with itself have learned vectors; a document is their mean, and a softmax over two classes gives its
+Hashed words, n-grams of characters and the pair of a word with itself have learned vectors; a document is their mean, and a softmax over two classes gives its
 score. Training is stochastic gradient descent in numpy with per-row AdaGrad steps, over at most ``max_rows`` labelled
 documents in one task. With two classes the score needs one number per bucket (vector times the difference of the two
 output rows), so scoring a text of any length is a gather and a sum.
