@@ -61,5 +61,10 @@ def test_postings_are_intersected(spark):
     kinds = [r.kind for r in RULES]
     got = {r["text_key"]: {k for i, k in enumerate(kinds) if r["c_rules"] >> i & 1} for r in secret_scan.candidates(index).collect()}
     assert got == {1: {"assign"}, 2: {"assign"}, 3: {"access"}, 4: {"access"}}
-    own = {r["text_key"]: r["b"] for r in secret_scan.with_trigrams(texts).select("text_key", secret_scan.own_rules().alias("b")).collect()}
-    assert {k: {x for i, x in enumerate(kinds) if b >> i & 1} for k, b in own.items() if b} == got
+
+
+def test_more_candidates_than_are_broadcast_give_the_same(spark):
+    texts = [(k % 7, f"token = abcdef{k % 5}" if k % 3 else "nothing here") for k in range(60)] + [(None, None), (9, "AKIA" + "A" * 20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    few, many = (sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in secret_scan.scan(docs, broadcast_rows=n).collect()), key=str) for n in (2_000_000, 0))
+    assert few == many and any(s for _, s in few)

@@ -170,19 +170,6 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return whole.groupBy("text_key").agg(F.bit_or(F.element_at(F.array(*(F.lit(1 << k) for k in range(len(rules)))), F.col("rule") + 1)).alias("c_rules"))
 
 
-def own_rules(rules: tuple[Rule, ...] = RULES) -> Column:
-    """What ``candidates`` gives for a text, from its own ``trigrams``."""
-    bits = F.lit(0)
-    for k, rule in enumerate(rules):
-        query, met = trigram_query(rule.pattern), F.lit(False)
-        if frozenset() in query:
-            continue
-        for wanted in sorted(map(sorted, query)):
-            met = met | (F.size(F.array_except(F.array(*(F.lit(t) for t in wanted)), F.col("trigrams"))) == 0)
-        bits = bits.bitwiseOR(F.when(met, 1 << k).otherwise(0))
-    return bits
-
-
 def _matches(rule: Rule, order: int) -> Column:
     """The rule's matches in one text as (kind_order, at, gap, length, ok); none unless it is a candidate by ``c_rules``."""
     pattern = F.lit(rule.pattern)
@@ -207,10 +194,8 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows:
     texts = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row_key"))
     index = materialise(postings(texts, rules), "secret-postings")
     met = materialise(candidates(index, rules), "secret-candidates").withColumnRenamed("text_key", "c_key")
-    if met.count() <= broadcast_rows:
-        asked = texts.join(F.broadcast(met), texts["text_key"] == met["c_key"], "left").withColumn("c_rules", F.coalesce("c_rules", F.lit(0)))
-    else:
-        asked = with_trigrams(texts, rules).withColumn("c_rules", own_rules(rules))
+    few = F.broadcast(met) if met.count() <= broadcast_rows else met  # more candidates meet their texts by a shuffle
+    asked = texts.join(few, texts["text_key"] == few["c_key"], "left").withColumn("c_rules", F.coalesce("c_rules", F.lit(0)))
     found = asked.select("doc_id", "row_key", F.concat(*(F.coalesce(_matches(r, k).cast(MATCH), none) for k, r in enumerate(rules))).alias("found"))
     # outer: a document without matches keeps its row
     rows = found.select("doc_id", "row_key", F.explode_outer("found").alias("m")).select("doc_id", "row_key", "m.*").repartition("row_key")
