@@ -38,7 +38,7 @@ def value(c: Column, name: str | Column) -> Column:
 
 def all_values(c: Column) -> Column:
     """Map from name to text; the last of equal names wins."""
-    texts = F.transform(F.slice(F.split(c, MARKER), 2, 1_000_000), strip)
+    texts = F.transform(F.filter(F.split(c, MARKER), lambda x, i: i > 0), strip)
     return F.map_from_entries(F.arrays_zip(names(c).alias("key"), texts.alias("value")))
 
 

@@ -29,7 +29,7 @@ def with_places(df: DataFrame, groups: list[str], part: Column, order: list[Colu
     for k, g in enumerate(groups):
         met = met & F.col(g).eqNullSafe(F.col(f"_g{k}"))
     place = F.row_number().over(W.partitionBy(*groups, "_part").orderBy(*order))
-    joined = keyed.withColumn(name, place).join(broadcast_if_few(sizes), met)
+    joined = keyed.withColumn(name, place).join(sizes, met)  # a few parts per group: adaptive execution broadcasts them where they are few
     return joined.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_part", "_p", "_before", *(f"_g{k}" for k in range(len(groups))))
 
 
