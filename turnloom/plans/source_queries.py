@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, scores
@@ -78,6 +81,25 @@ def step_log(spark, sf_dir):
     return steps.select(F.col("step").cast("long").alias("step"), F.element_at("metrics", F.lit("loss")).alias("loss"), F.element_at("metrics", F.lit("grad")).alias("grad"))
 
 
+@query("detected_logs", """
+select n_regionkey::bigint as region, 'json' as kind, (row_number() over (partition by n_regionkey order by n_nationkey))::bigint as step, n_nationkey * 0.5 as loss from nation
+union all select n_regionkey, 'text', (row_number() over (partition by n_regionkey order by n_nationkey))::bigint, n_nationkey * 0.25 from nation
+""")
+def detected_logs(spark, sf_dir):
+    """Each region's trainer log as a JSON document and as text, both read by one reader."""
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey")
+    folder, out = _folder(spark, "trainer"), []
+    for region in (r[0] for r in n.select("n_regionkey").distinct().collect()):  # five regions
+        own = n.where(F.col("n_regionkey") == region).orderBy("n_nationkey").coalesce(1)
+        entry = F.struct(F.col("n_nationkey").alias("at"), F.struct((F.col("n_nationkey") * F.lit(0.5)).alias("loss"), F.lit("x").alias("note")).alias("e"))
+        own.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("log_history")).write.json(f"{folder}/{region}.json")
+        own.select(F.concat(F.lit("it {'loss': "), (F.col("n_nationkey") * F.lit(0.25)).cast("string"), F.lit("} done"))).write.text(f"{folder}/{region}.log")
+        for kind, path in (("json", f"{folder}/{region}.json"), ("text", f"{folder}/{region}.log")):
+            m = logs.training_metrics(spark, path)
+            out.append(m.select(F.lit(region).cast("long").alias("region"), F.lit(kind).alias("kind"), F.col("step").cast("long").alias("step"), F.element_at("metrics", F.lit("loss")).alias("loss")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("event_sink", "select 'u' || user_id % 10 as session_id, event_type, count(*)::bigint as n from events group by 1, 2")
 def event_sink(spark, sf_dir):
     """Events appended in two writes, each row stamped with its session."""

@@ -74,6 +74,19 @@ def scraped_steps(lines: DataFrame, order: str) -> DataFrame:
     return numbered(each, F.col(order), ["at"], "step").select("step", F.map_from_entries(pairs).alias("metrics"))
 
 
+def training_metrics(spark: SparkSession, path: str, key: str = "log_history") -> DataFrame:
+    """(step, metrics) of a trainer's log, read by its suffix: a ``.json`` document holds dicts under a key, any other file is scraped.
+
+    Steps count from 1 in the order of the log; in a document, values that are no numbers are null.
+    """
+    if path.endswith(".json"):
+        text = spark.read.text(path, wholetext=True)
+        found = text.select(F.posexplode(F.from_json(F.get_json_object(LINE, f"$.{key}"), "array<map<string,string>>")).alias("pos", "m"))
+        return found.select((F.col("pos") + 1).alias("step"), F.transform_values("m", lambda k, v: v.try_cast("double")).alias("metrics"))
+    lines = spark.read.text(path).select(LINE, F.monotonically_increasing_id().alias("line"))
+    return scraped_steps(lines, "line")
+
+
 def key_value_store(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """A JSON map of records keyed by email; an unreadable file reads as empty."""
     text = spark.read.text(path, wholetext=True)
