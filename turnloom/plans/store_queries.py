@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import loosely_equal
-from ..operators import cases, generation, persistence, sampling
+from ..operators import cases, generation, persistence, progress, sampling
 from ..session import table
 from .event_queries import _folder
 from .registry import query
@@ -162,3 +162,52 @@ def swapped_options(spark, sf_dir):
 def seed_tags(spark, sf_dir):
     """Counts of the seeds' tags, here the parts of customers' names."""
     return cases.tag_counts(table(spark, sf_dir, "customer").select(F.split("c_name", "0").alias("cannot_targets")))
+
+
+@query("turn_variations", r"""
+with s as (select conv_id, arg_min(role, turn) as source from conversations where role is not null group by 1),
+t as (select c.conv_id, turn, role, coalesce(text, '') as t, source from conversations c join s using (conv_id)),
+f as (select *, len(regexp_extract_all(t, '[A-Z][a-z]+')) as n_ids, len(regexp_extract_all(t, '[a-z]{9,}')) as n_values from t)
+select conv_id, turn, case when t = '' then 'correct_answer must be object' when not contains(t, 'e') then 'missing flag ''has_new_data''' when not contains(t, 'i') then 'missing flag ''wants_review''' when n_ids <> n_values then 'field_ids and field_values length mismatch'
+  when role is distinct from source then 'source mismatch' when length(t) % 2 = 1 then 'test_id should start with the seed''s' end as fault from f
+""")
+def turn_variations(spark, sf_dir):
+    """F13 on texts: a conversation's turns as variations of its first, with names as fields and long words as values."""
+    c = table(spark, sf_dir, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    seed = c.where(F.col("role").isNotNull()).groupBy("conv_id").agg(F.min_by("role", "turn").alias("seed_role"))
+    has = lambda letter: F.when(F.contains("t", F.lit(letter)), True)
+    flags = F.struct(has("e").alias("has_new_data"), F.contains("t", F.lit("?")).alias("needs_choice"), has("i").alias("wants_review"), F.contains("t", F.lit("save")).alias("wants_save"), F.contains("t", F.lit("send")).alias("wants_submit"))
+    found = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    answer = F.struct(flags.alias("flags"), found("[A-Z][a-z]+").alias("field_ids"), found("[a-z]{9,}").alias("field_values"))
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    own = F.when(F.length("t") % 2 == 0, F.concat(conv, F.lit("-v"), turn)).otherwise(F.concat(F.lit("turn-"), turn))
+    v = F.struct(own.alias("test_id"), F.struct(F.col("t").alias("user_message")).alias("input"), F.when(F.col("t") != "", answer).alias("correct_answer"), F.col("role").alias("source"))
+    return c.join(seed, "conv_id").select("conv_id", "turn", cases.variation_fault(v, F.struct(conv.alias("test_id"), F.col("seed_role").alias("source"))).alias("fault"))
+
+
+@query("document_scores", """
+select doc_id, case lang when 'en' then case when contains(text, '.') then (length(text) % 100)::double / 100 else 0.0 end when 'fr' then case when contains(text, '.') then 1.0 / (1 + length(source)) else 0.0 end end::double as score from documents
+""")
+def document_scores(spark, sf_dir):
+    """M10 on documents: the score of the language's module, 0 where a text has no full stop."""
+    scored = cases.record_score(F.col("lang"), F.contains("text", F.lit(".")), {"en": (F.length("text") % 100).cast("double") / 100, "fr": F.lit(1.0) / (1 + F.length("source"))})
+    return table(spark, sf_dir, "documents").select("doc_id", scored.alias("score"))
+
+
+@query("shown_parts", """
+with c as (select p_brand, p_type, min(p_partkey) as pos, max(p_size) as size from part group by 1, 2),
+b as (select p_brand, list(p_type order by pos) filter (where size >= 10) as ids, max(size % 7) as most from c group by 1),
+a as (select l_orderkey, min(p_brand) as brand, count(*) % 7 as entry, list(distinct p_type order by p_type) filter (where l_quantity > 25) as wanted from lineitem join part on p_partkey = l_partkey group by 1)
+select l_orderkey, array_to_string(case when coalesce(len(wanted), 0) = 0 then coalesce(ids, []) else list_filter(wanted, lambda x: list_contains(coalesce(ids, []), x)) end, ',') as shown,
+  array_to_string(case when coalesce(len(wanted), 0) = 0 then [] else list_filter(wanted, lambda x: not list_contains(coalesce(ids, []), x)) end, ',') as unknown, entry < most as in_bounds from a join b on brand = p_brand
+""")
+def shown_parts(spark, sf_dir):
+    """V12 on orders: the types of a brand as a group's fields, those of an order's lines as the wanted ones."""
+    part = table(spark, sf_dir, "part")
+    size = F.max("p_size")
+    fields = part.groupBy(F.col("p_brand").alias("parent_group"), F.col("p_type").alias("field_id")).agg(F.min("p_partkey").alias("field_pos"), size.alias("size"))
+    catalogue = fields.select(F.lit("f").alias("form_id"), "parent_group", "field_id", "field_pos", F.when(F.col("size") >= 10, "text").otherwise("file").alias("type"), (F.col("size") % 7).alias("max_items"))
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    asked = lines.groupBy("l_orderkey").agg(F.min("p_brand").alias("group_id"), (F.count("*") % 7).alias("entry"), F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 25, F.col("p_type")))).alias("wanted"))
+    shown = progress.shown_fields(asked.withColumn("form_id", F.lit("f")), catalogue)
+    return shown.select("l_orderkey", F.array_join("shown", ",").alias("shown"), F.array_join("unknown", ",").alias("unknown"), "in_bounds")
