@@ -189,7 +189,11 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_
         return rows.sparkSession.createDataFrame([], schema), None
     exponent = int(np.frexp(seen["most"])[1])
     lists = max(1, min(most_lists, seen["n"] // list_rows))
-    chosen = rows.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample).select("embedding")
+    order = F.xxhash64("vec_id", "embedding")
+    # the smallest hashes: most rows go before the sort, so that no task is sent a sample's worth of each partition
+    upto = (1 << 64) * 2 * sample // seen["n"] - (1 << 63)
+    drawn = rows.where(order < F.lit(upto)) if upto < (1 << 63) - 1 else rows
+    chosen = drawn.orderBy(order, "vec_id").limit(sample).select("embedding")
     got = chosen.coalesce(1).mapInArrow(_learn_task(exponent, lists), "centres array<double>, books array<double>, dims int").first()
     centres = np.array(got["centres"]).reshape(-1, got["dims"])
     model = Model(exponent, centres, np.array(got["books"]).reshape(-1, CENTROIDS, SUB))
