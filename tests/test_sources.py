@@ -83,3 +83,23 @@ def test_streams(spark, tmp_path):
     assert {r["k"]: r["user_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 27, 1: 28, 2: 29}
     pairs = live.paired_calls(src.select(F.col("user_id").alias("call_id"), "ts"), src.select(F.col("user_id").alias("call_id"), (F.col("ts") + F.expr("interval 5 minutes")).alias("ts")), "call_id")
     assert pairs.count() == 30
+
+
+def test_typed_tables_of_frames_with_missing_and_odd_fields(spark):
+    from turnloom.operators import frames
+
+    texts = [
+        '{"type":"system","subtype":"init","session_id":"s","model":"m","tools":["a","b"],"mcp_servers":[{"name":"f","status":"ok"}],"permissionMode":"plan","v":"1.2","skills":["x"]}', '{"type":"system","subtype":"init"}',
+        '{"type":"result","subtype":"error_during_execution","is_error":true,"total_cost_usd":0.25,"duration_ms":12,"num_turns":3,"usage":{"input_tokens":5},"errors":["e1"],"result":"r"}', '{"type":"result"}', "broken", None,
+        '{"type":"assistant","parent_tool_use_id":"p","message":{"content":[{"type":"text","text":"t"},{"type":"tool_use","id":"u","name":"n"}]}}', '{"type":"user","isSynthetic":true,"message":{"content":[{"type":"text","text":"t"}]}}',
+        '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"u","content":"c"}]}}',
+    ]
+    df = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)], "s string, n int, frame string")
+    first, second = frames.session_inits(df, "s", "n", version="v").orderBy("order").collect()
+    assert (first["tools"], first["permission_mode"], first["version"], first["skills"], first["servers"][0]["status"]) == (["a", "b"], "plan", "1.2", ["x"], "ok")
+    assert (second["tools"], second["servers"], second["permission_mode"], second["version"], second["agents"]) == ([], [], "default", None, None)
+    bad, plain = frames.session_results(df, "s", "n").orderBy("order").collect()
+    assert (bad["is_error"], bad["cost_usd"], bad["duration_ms"], bad["num_turns"], bad["usage"], bad["errors"], bad["result"]) == (True, 0.25, 12, 3, '{"input_tokens":5}', ["e1"], "r")
+    assert (plain["subtype"], plain["is_error"], plain["cost_usd"], plain["usage"], plain["errors"], plain["structured_output"]) == ("success", False, 0.0, "{}", None, None)
+    assert [tuple(r) for r in frames.tool_calls(df, "s", "n").collect()] == [("s", 6, 1, "u", "p", "n", "{}")]
+    assert [tuple(r) for r in frames.user_inputs(df, "s", "n").collect()] == [("s", 7, '[{"text":"t","type":"text"}]', True)]

@@ -92,10 +92,11 @@ def _json(v: Column, path: str) -> Column:
     return F.to_json(_get(v, path, "variant"))
 
 
-def session_inits(frames: DataFrame, session: str, order: str, frame: str = "frame") -> DataFrame:
+def session_inits(frames: DataFrame, session: str, order: str, frame: str = "frame", version: str = "version") -> DataFrame:
     """What sessions began with, a row per ``system/init`` frame.
 
     Tools and servers are empty arrays and the mode is ``default`` where a frame lacks them; agents and skills are null then.
+    ``version`` names the field of the program's version.
     """
     v = F.col("_v")
     listed = lambda path: _get(v, path, "array<string>")
@@ -103,7 +104,7 @@ def session_inits(frames: DataFrame, session: str, order: str, frame: str = "fra
     return begun.select(
         "session", "order", _get(v, "$.session_id").alias("session_id"), _get(v, "$.model").alias("model"), F.coalesce(listed("$.tools"), F.array().cast("array<string>")).alias("tools"),
         F.coalesce(_get(v, "$.mcp_servers", "array<struct<name:string,status:string>>"), F.array().cast("array<struct<name:string,status:string>>")).alias("servers"),
-        F.coalesce(_get(v, "$.permissionMode"), F.lit("default")).alias("permission_mode"), _get(v, "$.claude_code_version").alias("version"), listed("$.agents").alias("agents"), listed("$.skills").alias("skills"),
+        F.coalesce(_get(v, "$.permissionMode"), F.lit("default")).alias("permission_mode"), _get(v, f"$.{version}").alias("version"), listed("$.agents").alias("agents"), listed("$.skills").alias("skills"),
     )
 
 
