@@ -94,3 +94,22 @@ def test_query_equals_its_statement(spark, sf_dir):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = sorted(con.execute(f"select item_id, rank, doc_id, score from ({LEXICAL})").fetchall())
     assert sorted(map(tuple, queries.op12_lexical(spark, sf_dir).select("item_id", "rank", "doc_id", "score").collect())) == got and got
+
+
+def test_no_reader_holds_all_blocks_of_a_file(spark, monkeypatch):
+    """A block can have 32,768 postings, so tasks read a few blocks at a time, however many a file has."""
+    seen, write = {}, lexical_search.materialise
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+
+    def noted(df, tag, *rest):
+        seen[tag] = (int(spark.conf.get(key)), rest)
+        return write(df, tag, *rest)
+
+    monkeypatch.setattr(lexical_search, "materialise", noted)
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame(list(enumerate(prose(5, 300))), "doc_id long, text string")
+    assert lexical_search.search(docs, spark.createDataFrame([("i", "the an ti")], "item_id string, text string")).count()
+    for tag in ("search-index", "search-entries", "search-first", "search-found"):
+        assert seen[tag][0] <= lexical_search.BLOCK_ROWS
+    assert seen["search-index"][1] == seen["search-forward"][1] == (lexical_search.GROUP_BYTES,)
+    assert spark.conf.get(key) == before

@@ -53,6 +53,9 @@ SORTED_DOCUMENTS, SORTED_POSTINGS = 2_048, 262_144
 #: Blocks in an Arrow batch, and texts in one.
 BLOCK_ROWS, TEXT_ROWS = 16, 128
 
+#: Bytes of a row group of blocks.
+GROUP_BYTES = 8_000_000
+
 #: Characters of a text whose terms are listed at once.
 PIECE = 4_000_000
 
@@ -77,14 +80,17 @@ _BLOCKS = pa.schema([
 
 @contextmanager
 def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows for what runs within."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Batches of so many rows for what runs within, those of the Parquet reader too: by its own measure of 4,096 rows
+    a reader would hold all blocks of a large file at once, each with up to ``BLOCK_POSTINGS`` postings."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(key) for key in keys]
+    for key in keys:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in zip(keys, before, strict=True):
+            spark.conf.set(key, value)
 
 
 def _counted(text: str) -> Counter:
@@ -181,11 +187,11 @@ def build_index(documents: DataFrame) -> tuple[DataFrame, int, int]:
     """The written blocks, the documents that have a term, and all their terms with repeats."""
     spark = documents.sparkSession
     with _arrow_rows(spark, TEXT_ROWS):
-        blocks = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_forward, BLOCKS), "search-forward")
+        blocks = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_forward, BLOCKS), "search-forward", GROUP_BYTES)
     plain = written[-1]
     n, words = (x or 0 for x in blocks.agg(F.sum("docs"), F.sum("words")).first())
     with _arrow_rows(spark, BLOCK_ROWS):
-        index = materialise(blocks.mapInArrow(_with_maxima(n, words), f"{BLOCKS}, tops array<long>"), "search-index")
+        index = materialise(blocks.mapInArrow(_with_maxima(n, words), f"{BLOCKS}, tops array<long>"), "search-index", GROUP_BYTES)
     discard(spark, [plain])
     return index, n, words
 
@@ -347,7 +353,8 @@ def _search_batch(index: DataFrame, n: int, words: int, entries: DataFrame, k: i
 def search(documents: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's ``k`` documents of the highest score above 0."""
     index, n, words = build_index(documents)
-    keys, entries = weighted_terms(index, n, items)
+    with _arrow_rows(index.sparkSession, BLOCK_ROWS):
+        keys, entries = weighted_terms(index, n, items)
     sizes = entries.agg(F.count("*").alias("n"), F.count_distinct("item").alias("items")).first()
     batches = max(1, -(-sizes["items"] // BATCH_ITEMS), -(-sizes["n"] // BATCH_ENTRIES))
     found = index.sparkSession.createDataFrame([], FOUND)
