@@ -247,3 +247,18 @@ def test_typed_events(spark):
         ("b", 7): ("raw", "system/x", None, None), ("b", 8): ("user_message", None, None, None), (None, 1): ("result", "error", None, None), (None, 2): ("raw", None, None, None),
     }
     assert frames.typed_events(spark.createDataFrame([], "s string, n int, frame string"), "s", "n").collect() == []
+
+
+def test_vault_keeps_entries_whose_ids_are_equal(spark):
+    """Two owners' entries with one id: ids are the first 32 bits of a hash."""
+    from turnloom.operators import persistence
+
+    new = spark.createDataFrame([("26803", "A"), ("116433", "A"), ("116433", "A"), (None, "A")], "owner string, label string").select("owner", "label", F.lit("{}").alias("data"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("saved_at"))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    none = spark.createDataFrame([], "entry_id string, owner string, label string, data string, saved_at timestamp, is_profile boolean")
+    once = persistence.vault_save(none, new)
+    ids = {r["owner"]: r["entry_id"] for r in once.collect()}
+    assert once.count() == 3 and ids["26803"] == ids["116433"] == "v_13dbdfc7"
+    assert persistence.vault_save(once, new).count() == 3
+    other = once.where("owner = '26803'")  # an entry that is there does not keep out another owner's of its id
+    assert {r["owner"] for r in persistence.vault_save(other, new).collect()} == {"26803", "116433", None}

@@ -49,9 +49,13 @@ def save_submissions(requests: DataFrame, year: int) -> tuple[DataFrame, DataFra
 
 
 def vault_save(entries: DataFrame, new: DataFrame) -> DataFrame:
-    """The entries and the new ones (owner, label, data, saved_at), each with an id of its own; one that is there already is not stored twice."""
-    made = new.withColumn("entry_id", _id("v_", "owner", "label", "saved_at")).dropDuplicates(["entry_id"]).withColumn("is_profile", F.lit(False))
-    return entries.unionByName(made.join(entries.select("entry_id"), "entry_id", "left_anti").select(*entries.columns))
+    """The entries and the new ones (owner, label, data, saved_at); one that is there already is not stored twice.
+
+    An entry is known by its id and owner: ids are 32 bits of a hash, so two owners' entries can share one, and neither is left out for that.
+    """
+    made = new.withColumn("entry_id", _id("v_", "owner", "label", "saved_at")).dropDuplicates(["entry_id", "owner"]).withColumn("is_profile", F.lit(False))
+    there = entries.select(F.col("entry_id").alias("t_id"), F.col("owner").alias("t_owner"))
+    return entries.unionByName(made.join(there, (F.col("entry_id") == F.col("t_id")) & F.col("owner").eqNullSafe(F.col("t_owner")), "left_anti").select(*entries.columns))
 
 
 def vault_merge(entries: DataFrame, asked: DataFrame) -> DataFrame:
