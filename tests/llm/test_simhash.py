@@ -131,3 +131,27 @@ def test_wider_links_are_verified(spark, monkeypatch):
     for hot_key, block in ((32, 512), (1, 8)):
         monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (4, hot_key, block))
         assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == want
+
+
+def test_a_pair_beside_a_failed_edge_is_verified(spark, monkeypatch):
+    """0 is seven bits from a and eight from b, which link surely: where (0, a) fails, (0, b) is still asked."""
+    import pyarrow as pa
+
+    a, b = 0b1111111, 0b11111111
+    probe, index = [0, a], [0, a, b]
+    n = len(probe) + len(index)
+    batch = pa.table({"fp": probe + index, "proof_1": [0] * n, "proof_2": [0] * n, "start": [0] * n, "probe": [True] * len(probe) + [False] * len(index)})
+    rows = simhash._block_links(simhash._segments(12), 12, ["proof_1", "proof_2"])(batch).to_pylist()
+    asked = {(frozenset((r["a"], r["b"])), r["later"]) for r in rows if r["a_proof"] is not None}
+    assert asked == {(frozenset((0, a)), False), (frozenset((0, b)), True)}
+
+    texts = [f"t{k}" for k in range(3)]  # of these fingerprints only the second pair is similar
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    per_doc = spark.createDataFrame([(k, fp, 0, 0) for k, fp in enumerate((0, a, b))], "doc_id long, fp long, proof_1 long, proof_2 long")
+    per_doc = per_doc.join(docs.selectExpr("doc_id", "xxhash64(text) as text_hash"), "doc_id").select("doc_id", "text_hash", "fp", "proof_1", "proof_2")
+    shingles = {"t0": [1, 2, 3, 4, 5], "t1": [9], "t2": [1, 2, 3, 4, 5]}
+    sets = spark.createDataFrame(list(shingles.items()), "text string, hashes array<long>").selectExpr("xxhash64(text) as text_hash", "hashes")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: per_doc)
+    monkeypatch.setattr(simhash, "with_shingles", lambda texts, words: texts.selectExpr("doc_id", "xxhash64(text) as text_hash").join(sets, "text_hash"))
+    monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (4, 1, 512))
+    assert {r["component_id"] for r in simhash.near_duplicates(docs, 5, 12).collect()} == {0}

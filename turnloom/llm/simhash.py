@@ -11,8 +11,8 @@ are many; the longer runs are checked before the full distance, unless segments
 
 Above ``SURE`` bits unlike documents meet, so such links of a larger ``max_distance`` are verified: shingle sets with a
 Jaccard similarity of ``SIMILAR`` or more. Before that, ``PROOFS`` more fingerprints, of the shingles' hashes mixed anew,
-must differ in ``PROOF_BITS`` bits or fewer in all. From a large bucket only a spanning forest of such pairs is verified,
-the nearest first: where its edge fails, a farther pair between the same groups is tried only if another key gives it.
+must differ in ``PROOF_BITS`` bits or fewer in all. From a large bucket a spanning forest of such pairs is verified first,
+the nearest before others; then every other pair whose fingerprints are still in unlike components.
 
 Cases. Copies collapse to one fingerprint first. Null texts count as empty; rows with null doc_ids are fingerprinted and
 take their component's id, but are never one; a component of such rows alone has a null id. Ties don't arise: the component id is the smallest doc_id.
@@ -46,9 +46,9 @@ SURE = 6
 SIMILAR = 0.8
 
 #: Further fingerprints of a document, and how many of their 128 bits may differ: shingle sets with a Jaccard similarity
-#: of 0.8 differ in 19.4 on average, with a deviation of 4.1; unrelated ones in 64, with one of 5.7.
+#: of 0.8 differ in 19.4 on average, with a deviation of 4.1, so six deviations stay; unrelated ones in 64, with one of 5.7.
 PROOFS = 2
-PROOF_BITS = 32
+PROOF_BITS = 44
 
 #: Ring segments up to which chains are checked before the full distance.
 CHAINED = 8
@@ -179,7 +179,10 @@ def _proof(side: str, proofs: list[str], plain: bool = False) -> list[Column]:
 
 
 def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
-    """For one hot key and one pair of blocks: edges that join what is linked, fewer than there are fingerprints."""
+    """For one hot key and one pair of blocks: edges that join what is linked, fewer than there are fingerprints.
+
+    With proofs also all other pairs that are to be verified and that these edges don't join, as ``later``.
+    """
     m = len(segments)
     masks = []
     for i in range(m):
@@ -219,13 +222,14 @@ def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
             edges = edges[:, edges[0] != edges[1]]
         if not proofs:
             return pa.table({"a": pa.array(edges[0], pa.int64()), "b": pa.array(edges[1], pa.int64())})
-        pairs = []
+        pairs, rest = [], (np.zeros(0, int), np.zeros(0, int))
         if len(left) and len(right):
             i, j = np.nonzero(near & ~sure)
             apart = sum(np.bitwise_count(p[probe][i] ^ p[~probe][j]).astype(np.int64) for p in shown)
             held = (apart <= PROOF_BITS) & (label_l[i] != label_r[j])
             i, j, apart = i[held], j[held], apart[held]
             root: dict[int, int] = {}
+            taken: set[int] = set()
 
             def find(x: int) -> int:
                 while (up := root.get(x, x)) != x:
@@ -238,7 +242,13 @@ def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     pairs.append((i[k], j[k]))
+                    taken.add(int(k))
+            other = left[i] < right[j]  # the other direction is met under the other's key
+            other[list(taken)] = False
+            rest = i[other], j[other]
         i, j = (np.array(side, int) for side in (zip(*pairs, strict=True) if pairs else ((), ())))
+        n_first = edges.shape[1] + len(i)
+        i, j = np.concatenate([i, rest[0]]), np.concatenate([j, rest[1]])
         named = shown[0].view(np.int64) if shown else fp
         none = np.zeros(edges.shape[1], np.int64)
         sure_row = np.concatenate([np.ones(len(none), bool), np.zeros(len(i), bool)])
@@ -247,6 +257,7 @@ def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
             "b": pa.array(np.concatenate([edges[1], right[j]]), pa.int64()),
             "a_proof": pa.array(np.concatenate([none, named[probe][i]]), pa.int64(), mask=sure_row),
             "b_proof": pa.array(np.concatenate([none, named[~probe][j]]), pa.int64(), mask=sure_row),
+            "later": pa.array(np.arange(len(sure_row)) >= n_first),
         })
 
     return links
@@ -256,7 +267,8 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
     """Edges (a, b) over distinct fingerprints ``fp``; they connect all that link, and all joins are on keys.
 
     ``distinct`` may have columns with proofs besides ``fp``; then the first ones of both sides are given as a_proof and
-    b_proof where a link has over ``SURE`` bits and is to be verified, else nulls.
+    b_proof where a link has over ``SURE`` bits and is to be verified, else nulls; ``later`` marks links that need it only
+    where the others leave their sides apart.
 
     Probes carry each allowed change of a key's second segment, so equal keys suffice. A key with up to ``hot_key``
     index rows joins plainly: at most that many pairs per probe. A larger one is cut into blocks of ``block``
@@ -281,7 +293,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
         cool = probes.join(known, (probes["key"] == known["h_key"]) & (probes["p_start"] == known["h_start"]), "left_anti")
     plain = cool.join(cold, (cool["key"] == cold["key"]) & (cool["p_start"] == cold["start"]) & near)
     unsure = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) > SURE
-    plain = plain.select(F.col("x").alias("a"), F.col("y").alias("b"), *(F.when(unsure, F.col(f"{side}_{proofs[0]}")).alias(f"{to}_proof") for side, to in (("x", "a"), ("y", "b")) if proofs))
+    plain = plain.select(F.col("x").alias("a"), F.col("y").alias("b"), *(F.when(unsure, F.col(f"{side}_{proofs[0]}")).alias(f"{to}_proof") for side, to in (("x", "a"), ("y", "b")) if proofs), *([F.lit(False).alias("later")] if proofs else []))
     if counts.isEmpty():
         return plain.distinct()
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -293,7 +305,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
     # probes of one key may outnumber its index rows by its neighbours' rows, so they get as many blocks of their own hash
     p_rows = p_rows.select("fp", *proofs, "start", "key", "probe", own.alias("p_block"), F.explode(all_blocks).alias("i_block"))
     both = i_rows.unionByName(p_rows)
-    forest = both.groupBy("key", "start", "i_block", "p_block").applyInArrow(_block_links(segments, max_distance, proofs), "a long, b long" + ", a_proof long, b_proof long" * bool(proofs))
+    forest = both.groupBy("key", "start", "i_block", "p_block").applyInArrow(_block_links(segments, max_distance, proofs), "a long, b long" + ", a_proof long, b_proof long, later boolean" * bool(proofs))
     return plain.unionByName(forest).distinct()
 
 
@@ -322,7 +334,16 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4)
     distinct = per_doc.drop("doc_id", "text_hash").distinct() if max_distance > SURE else classes.select("fp")
     links = materialise(fingerprint_links(distinct, max_distance), "simhash-links")
     if max_distance > SURE:
-        links = materialise(_verified(links, per_doc, documents, words), "simhash-verified")
+        later = links.where("later")
+        links = materialise(_verified(links.where("not later"), per_doc, documents, words), "simhash-verified")
+        if not later.isEmpty():
+            labels = connected_components(links)
+            for side in ("a", "b"):
+                named = broadcast_if_small(labels.withColumnsRenamed({"node": f"{side}_node", "label": f"{side}_label"}))
+                later = later.join(named, F.col(side) == F.col(f"{side}_node"), "left")
+            apart = F.coalesce("a_label", "a") != F.coalesce("b_label", "b")
+            later = materialise(later.where(apart).select("a", "b", "a_proof", "b_proof"), "simhash-later")
+            links = materialise(links.unionByName(_verified(later, per_doc, documents, words)), "simhash-all")
     labels = connected_components(links)  # node, label: only fingerprints with a link
     # a component of many fingerprints meets its root in parts, so that it is not one task's
     rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"), F.col("label").isNotNull().alias("linked"))
