@@ -262,3 +262,13 @@ def test_vault_keeps_entries_whose_ids_are_equal(spark):
     assert persistence.vault_save(once, new).count() == 3
     other = once.where("owner = '26803'")  # an entry that is there does not keep out another owner's of its id
     assert {r["owner"] for r in persistence.vault_save(other, new).collect()} == {"26803", "116433", None}
+
+
+def test_frames_are_parsed_once_and_by_all_tasks(spark, sf_dir):
+    from turnloom.plans import catalogue
+
+    df = catalogue.queries()["typed_events"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("ParseJson") == 1 or plan.lower().count("parsejson(") == 1, plan[:2000]
+    assert plan.count("RepartitionByExpression") == 1  # a small file of customers is one task's otherwise
+    assert scale.spread(spark.range(100), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

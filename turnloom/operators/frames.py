@@ -55,8 +55,7 @@ def typed_events(frames: DataFrame, session: str, order: str, frame: str = "fram
     content = _get(v, "$.message.content", "variant")
     blocks = F.coalesce(_get(v, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
     answer = F.get(F.filter(blocks, lambda b: _get(b, "$.type") == "tool_result"), F.lit(0))
-    inner, slot = _get(v, "$.event.type"), _get(v, "$.event.index", "int")
-    kind, part = _get(v, "$.type"), _get(v, "$.event.delta.type")
+    inner, slot, kind, part = map(F.col, ("_inner", "_slot", "_kind", "_part"))
     opened = F.when((_get(v, "$.event.content_block.type") == "tool_use") & slot.isNotNull(), _event(0, "opened", name=_get(v, "$.event.content_block.name"), slot=slot))
     written = F.when((part == "text_delta") & (_get(v, "$.event.delta.text") != ""), _event(0, "text_delta", body=_get(v, "$.event.delta.text"))).when(
         (part == "input_json_delta") & (_get(v, "$.event.delta.partial_json") != ""), _event(0, "tool_input_delta", slot=slot, body=_get(v, "$.event.delta.partial_json"))
@@ -71,17 +70,18 @@ def typed_events(frames: DataFrame, session: str, order: str, frame: str = "fram
         .when(kind == "stream_event", streamed).when(kind == "result", _event(0, "result", F.coalesce(_get(v, "$.subtype"), F.lit("success")))).otherwise(_event(0, "raw", kind))
     )
     found = F.when(kind == "assistant", F.transform(blocks, _block)).otherwise(F.array(single))
-    parsed = frames.select(F.col(session).alias("session"), F.col(order).alias("order"), F.try_parse_json(frame).alias("_v")).where(_is(v, "OBJECT"))
-    each = parsed.select("session", "order", F.explode(F.array_compact(F.coalesce(found, none))).alias("e")).select("session", "order", "e.*")
-    so_far = lambda key: W.partitionBy("session", key).orderBy("order", "pos").rowsBetween(W.unboundedPreceding, 0)
-    used = F.last(F.when(F.col("kind") == "tool_use", F.col("name")), ignorenulls=True).over(so_far("tool_use_id"))
-    held = F.last(F.when(F.col("kind").isin("opened", "closed"), F.struct("name")), ignorenulls=True).over(so_far("slot"))["name"]
-    # only rows with an id, or with an index, need the order of their key
-    by_id, by_slot = each.where(F.col("kind").isin("tool_use", "tool_result")), each.where(F.col("kind").isin("opened", "closed", "tool_input_delta"))
-    rest = each.where(~F.col("kind").isin("tool_use", "tool_result", "opened", "closed", "tool_input_delta"))
-    named = by_id.withColumn("name", F.when(F.col("kind") == "tool_result", F.coalesce(used, F.lit("unknown"))).otherwise(F.col("name")))
-    parts = by_slot.withColumn("name", held).where(F.col("kind") == "tool_input_delta")
-    return rest.unionByName(named).unionByName(parts).drop("slot")
+    # no filter stands between: it would be pushed below, where each frame would be parsed once more
+    parsed = frames.select(F.col(session).alias("session"), F.col(order).alias("order"), F.try_parse_json(frame).alias("_v"))
+    read = parsed.select("*", _is(v, "OBJECT").alias("_object"), _get(v, "$.type").alias("_kind"), _get(v, "$.event.type").alias("_inner"), _get(v, "$.event.index", "int").alias("_slot"), _get(v, "$.event.delta.type").alias("_part"))
+    each = read.select("session", "order", F.explode(F.array_compact(F.when(F.col("_object"), F.coalesce(found, none)))).alias("e")).select("session", "order", "e.*")
+    # one pass over all rows, parsed once: those with an id, or with an index, need the order of their key, others are dealt by their place
+    by_id, by_slot = F.col("kind").isin("tool_use", "tool_result"), F.col("kind").isin("opened", "closed", "tool_input_delta")
+    keyed = each.withColumns({"_by": F.when(by_id, 0).when(by_slot, 1).otherwise(2), "_id": F.when(by_id, F.col("tool_use_id")), "_index": F.when(by_slot, F.col("slot")), "_place": F.when(~by_id & ~by_slot, F.xxhash64("order", "pos"))})
+    names = F.when((F.col("kind") == "tool_use") & F.col("name").isNotNull() | F.col("kind").isin("opened", "closed"), F.struct("name"))
+    so_far = W.partitionBy("session", "_by", "_id", "_index", "_place").orderBy("order", "pos").rowsBetween(W.unboundedPreceding, 0)
+    held = keyed.withColumn("_held", F.last(names, ignorenulls=True).over(so_far)["name"]).where(~F.col("kind").isin("opened", "closed"))
+    name = F.when(F.col("kind") == "tool_result", F.coalesce("_held", F.lit("unknown"))).when(F.col("kind") == "tool_input_delta", F.col("_held")).otherwise(F.col("name"))
+    return held.withColumn("name", name).drop("slot", "_by", "_id", "_index", "_place", "_held")
 
 
 def _frames_of(frames: DataFrame, session: str, order: str, frame: str) -> DataFrame:

@@ -19,6 +19,11 @@ def broadcast_if_few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt by their keys into as many tasks as a shuffle has, for work that costs far more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_places(df: DataFrame, groups: list[str], part: Column, order: list[Column | str], name: str) -> DataFrame:
     """``df`` with each row's place, from 1, in its group by (part, order): ranked within parts, with the counts before."""
     keyed = df.withColumn("_part", part)

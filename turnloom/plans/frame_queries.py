@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frames
+from ..operators import frames, scale
 from ..session import table
 from .registry import query
 
@@ -36,13 +36,13 @@ select c_custkey as session, e.ord::int as "order", e.pos::int as pos, e.kind, e
 """)
 def typed_events(spark, sf_dir):
     """Every kind of frame in each customer's session."""
-    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.posexplode(F.array(*map(F.lit, _FRAMES))).alias("at", "f"))
+    raw = scale.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", "c_name", F.posexplode(F.array(*map(F.lit, _FRAMES))).alias("at", "f"))
     return frames.typed_events(raw.withColumn("frame", F.replace("f", F.lit("NAME"), F.col("c_name"))), "c_custkey", "at")
 
 
 def _order_frames(spark, sf_dir):
     """Frames of a session per order: its start, uses of tools below one another, what was said, and its end."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("price"))
+    o = scale.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("price")), "o_orderkey")
     failed = F.col("o_orderstatus") == "F"
     tools = F.array(F.col("o_orderpriority"), F.lit("Read"))
     init = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("init").alias("subtype"), F.concat(F.lit("s"), "o_orderkey").alias("session_id"), F.lit("m").alias("model"), F.when(~failed, tools).alias("tools"), F.when(failed, F.lit("plan")).alias("permissionMode"), F.when(failed, F.array(F.struct(F.lit("files").alias("name"), F.col("o_orderstatus").alias("status")))).alias("mcp_servers")))
