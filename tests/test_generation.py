@@ -149,3 +149,11 @@ def test_evaluations_resume_and_halt(spark, tmp_path):
     assert evaluation_runs.scored(spark, folder, 4, True).count() == 0
     assert evaluation_runs.evaluate(cases, score(none), folder, 4) == 0
     assert evaluation_runs.evaluate(spark.range(103).withColumnRenamed("id", "case_id"), score(none), folder, 4) == 3
+
+
+def test_customers_are_dealt_to_all_tasks_and_drawn_once(spark, sf_dir):
+    from turnloom.plans import catalogue
+
+    plans = {q: catalogue.queries()[q](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString() for q in ("form_rules", "seeded_drafts")}
+    assert all("RepartitionByExpression" in p for p in plans.values())
+    assert not any("Filter" in line and "1831565813" in line for line in plans["seeded_drafts"].splitlines())  # no draws in a filter

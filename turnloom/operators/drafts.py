@@ -68,7 +68,8 @@ def draft_values(drafts: DataFrame, sections: DataFrame, fields: DataFrame, pers
     field_id, value) hold what could be filled in. A field with a condition is filled only if the field it names, in the draft so far,
     has that value. Files are never filled, and a group's fields are ``group.entry.field``.
     """
-    shown = filled_sections(drafts, sections).select("record_id", "form_id", F.explode("filled").alias("section_id"))
+    # an outer explode: for the inner kind a filter on all of ``filled``, each step written out wherever the next names it, would go below
+    shown = filled_sections(drafts, sections).select("record_id", "form_id", F.explode_outer("filled").alias("section_id")).where(F.col("section_id").isNotNull())
     placed = shown.join(sections, ["form_id", "section_id"]).join(fields.where(F.col("type") != "file"), ["form_id", "section_id"])
     own = placed.where(F.col("parent_group").isNull() & (F.col("type") != "group")).join(personas, ["record_id", "field_id"]).where(F.col("value").isNotNull())
     listed = own.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("section_pos", "field_pos", "field_id", "value", "condition_field", "condition_value"))).alias("f"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import block_matrix, drafts, evaluation_runs, grammar, rules
+from ..operators import block_matrix, drafts, evaluation_runs, grammar, rules, scale
 from ..session import table
 from . import form_rules
 from .event_queries import _folder
@@ -53,7 +53,7 @@ union all select c_custkey, 'orders.' || entry || '.status', o_orderstatus from
 """)
 def seeded_drafts(spark, sf_dir):
     """Each customer's draft from a seed of their own; a field that depends on another, a group and files."""
-    c = table(spark, sf_dir, "customer")
+    c = scale.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_custkey")
     sections = spark.createDataFrame(_SECTIONS, "form_id string, section_pos int, section_id string")
     fields = spark.createDataFrame(_FIELDS, "form_id string, section_id string, field_pos int, field_id string, type string, parent_group string, condition_field string, condition_value string")
     own = {"segment": F.col("c_mktsegment"), "name": F.col("c_name"), "balance": F.round("c_acctbal").cast("long").cast("string"), "phone": F.concat(F.lit("p"), F.col("c_nationkey").cast("string")), "address": F.col("c_name"), "id_card": F.lit("x")}
@@ -109,7 +109,8 @@ def form_rules_(spark, sf_dir):
     """The value rules and the due fields of the visit form, about a hundred rules in one pass."""
     heads, nodes = rules.tree_rows([*form_rules.value_rules(), *form_rules.due_rules()])
     values = F.create_map(*(x for f, sql in _RECORD.items() for x in (F.lit(f), F.expr(sql))))
-    records = table(spark, sf_dir, "customer").select("c_custkey", values.alias("values"))
+    c = scale.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_custkey")
+    records = c.select("c_custkey", values.alias("values"))
     found = rules.with_problems(records, "values", spark.createDataFrame(heads, rules.RULES), spark.createDataFrame(nodes, rules.NODES), form_rules.FIELDS, F.to_date(F.lit("2024-05-01")))
     return found.select("c_custkey", F.array_join(F.transform("problems", lambda p: F.concat_ws(":", p["field_id"], p["problem"])), ",").alias("problems"))
 
