@@ -104,3 +104,50 @@ def test_complete_results_are_tables(spark, tmp_path):
     stream = spark.readStream.schema("id long, k long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = live.drained(stream.groupBy("k").agg(F.sum("id").alias("n")), f"{tmp_path}/out", f"{tmp_path}/log")
     assert sorted(map(tuple, got.collect())) == [(0, 18), (1, 12), (2, 15)] and got.inputFiles()
+
+
+def test_ordered_state_sends_rows_of_a_batch_at_once():
+    import pandas as pd
+
+    from turnloom.streaming.stateful import OrderedState
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+        def put(self, rows):
+            self.rows = rows
+
+        def get(self):
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+    class States(dict):
+        def iterator(self):
+            return iter(self.items())
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    class Handle:
+        waiting, state, timers = Held(), States(), []
+        getListState = lambda self, name, schema: self.waiting
+        getMapState = lambda self, name, schema: self.state
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 10
+
+    handle, fold = Handle(), OrderedState()
+    fold.init(handle)
+    rows = pd.DataFrame({"at": [5000, 1000, 1000, 90_000], "id": [3, 1, 1, 4], "name": ["a", "a", "b", "a"], "value": [1.0, 2.0, 3.0, 4.0]})
+    fold.handleInputRows((7,), iter([rows[:2], rows[2:]]), None)
+    assert handle.waiting.calls == 1 and handle.timers == [2]
+    (out,) = fold.handleExpiredTimer((7,), Watermark(), None)
+    assert out.values.tolist() == [[7, 1, ""], [7, 3, "b=3.00"]]  # of one time and id the last counts
+    assert [r[:2] for r in handle.waiting.rows] == [(90_000, 4)] and handle.timers == [2, 91] and dict(handle.state) == {("b",): (3.0,), ("a",): (1.0,)}
