@@ -137,7 +137,7 @@ def test_ordered_state_sends_rows_of_a_batch_at_once():
     class Handle:
         waiting, state, timers = Held(), States(), []
         getListState = lambda self, name, schema: self.waiting
-        getMapState = lambda self, name, schema: self.state
+        getMapState = lambda self, name, key, value: self.state
         registerTimer = lambda self, at: self.timers.append(at)
 
     class Watermark:
