@@ -155,3 +155,55 @@ def test_a_pair_beside_a_failed_edge_is_verified(spark, monkeypatch):
     monkeypatch.setattr(simhash, "with_shingles", lambda texts, words: texts.selectExpr("doc_id", "xxhash64(text) as text_hash").join(sets, "text_hash"))
     monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (4, 1, 512))
     assert {r["component_id"] for r in simhash.near_duplicates(docs, 5, 12).collect()} == {0}
+
+
+def test_pairs_beside_failed_edges_are_no_rows(spark):
+    """A bucket of one family in which nothing links surely: rows grow with its fingerprints, not with its pairs."""
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = sorted({signed(base ^ sum(1 << b for b in rng.sample(range(64), 6))) for _ in range(200)})
+    n = len(fps)
+    import pyarrow as pa
+
+    batch = pa.table({"fp": fps + fps, "proof_1": [0] * 2 * n, "proof_2": [0] * 2 * n, "start": [0] * 2 * n, "probe": [True] * n + [False] * n})
+    rows = simhash._block_links(simhash._segments(12), 12, ["proof_1", "proof_2"])(batch).to_pylist()
+    assert any(r["later"] for r in rows) and len(rows) < 2 * n
+    near = [(x, y) for x in fps for y in fps if x < y and bin((x ^ y) & (2**64 - 1)).count("1") <= 12]
+    assert len(near) > 10 * n and classes([(r["a"], r["b"]) for r in rows], fps) == classes(near, fps)
+
+
+def test_pairs_that_count_at_one_start_still_join_all(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    fps = sorted({signed(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(2, 6)))) for _ in range(60)})
+    rows = spark.createDataFrame([(f, 0, 0) for f in fps], "fp long, proof_1 long, proof_2 long")
+    near = [(x, y) for x in fps for y in fps if x < y and bin((x ^ y) & (2**64 - 1)).count("1") <= 12]
+    for hot_key in (1, 8):
+        links = simhash.fingerprint_links(rows, 12, hot_key, 16)
+        assert classes([(r["a"], r["b"]) for r in links.collect()], fps) == classes(near, fps)
+
+
+def test_families_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    base, texts = rng.getrandbits(64), [f"t{k}" for k in range(60)]
+    fps = [signed(base ^ sum(1 << b for b in rng.sample(range(64), 6))) for _ in texts]
+    shingles = {t: [k % 8 * 100 + x for x in rng.sample(range(12), rng.randint(9, 11))] for k, t in enumerate(texts)}
+    shingles["t3"] = []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    per_doc = spark.createDataFrame([(k, fp, 0, 0) for k, fp in enumerate(fps)], "doc_id long, fp long, proof_1 long, proof_2 long")
+    per_doc = per_doc.join(docs.selectExpr("doc_id", "xxhash64(text) as text_hash"), "doc_id").select("doc_id", "text_hash", "fp", "proof_1", "proof_2")
+    sets = spark.createDataFrame(list(shingles.items()), "text string, hashes array<long>").selectExpr("xxhash64(text) as text_hash", "hashes")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: per_doc)
+    monkeypatch.setattr(simhash, "with_shingles", lambda texts, words: texts.selectExpr("doc_id", "xxhash64(text) as text_hash").join(sets, "text_hash"))
+    monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (4, 1, 16))
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", 400)
+    assert len(set(fps)) == 60
+    edges = []
+    for i in range(60):
+        for j in range(i):
+            d, x, y = ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count(), set(shingles[texts[i]]), set(shingles[texts[j]])
+            if d <= 6 or (d <= 12 and len(x & y) >= 0.8 * len(x | y) and x | y):
+                edges.append((i, j))
+    want = classes(edges, range(60))
+    assert 3 < len(set(want.values())) < 57
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 12).collect()} == want

@@ -12,7 +12,9 @@ are many; the longer runs are checked before the full distance, unless segments
 Above ``SURE`` bits unlike documents meet, so such links of a larger ``max_distance`` are verified: shingle sets with a
 Jaccard similarity of ``SIMILAR`` or more. Before that, ``PROOFS`` more fingerprints, of the shingles' hashes mixed anew,
 must differ in ``PROOF_BITS`` bits or fewer in all. From a large bucket a spanning forest of such pairs is verified first,
-the nearest before others; then every other pair whose fingerprints are still in unlike components.
+the nearest before others. Where it failed beside other pairs, the fingerprints that such pairs join make a family, and those
+outside its largest component are compared with all of it on full sets, each pair of blocks in a task of its own that gives a
+forest of links, not pairs.
 
 Cases. Copies collapse to one fingerprint first. Null texts count as empty; rows with null doc_ids are fingerprinted and
 take their component's id, but are never one; a component of such rows alone has a null id. Ties don't arise: the component id is the smallest doc_id.
@@ -50,6 +52,10 @@ SIMILAR = 0.8
 PROOFS = 2
 PROOF_BITS = 44
 
+#: Weight of a family on each side of one comparison: its shingles, and so many more for each fingerprint.
+FAMILY_BLOCK = 250_000
+MEMBER = 64
+
 #: Ring segments up to which chains are checked before the full distance.
 CHAINED = 8
 
@@ -178,10 +184,11 @@ def _proof(side: str, proofs: list[str], plain: bool = False) -> list[Column]:
     return [F.col(f"{side}_{c}").alias(c) if plain else F.col(f"{side}_{c}") for c in proofs]
 
 
-def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
+def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str], in_key: int = 2):
     """For one hot key and one pair of blocks: edges that join what is linked, fewer than there are fingerprints.
 
-    With proofs also all other pairs that are to be verified and that these edges don't join, as ``later``.
+    With proofs also one pair, as ``later``, of each tree of such edges beside which there are other pairs to be verified;
+    and a pair counts only from its smaller side and at the first start whose ``in_key`` segments bring it together.
     """
     m = len(segments)
     masks = []
@@ -209,6 +216,13 @@ def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
             if m <= CHAINED:
                 for mask, most in masks[start]:
                     near &= np.bitwise_count(differ & mask) <= most
+            if proofs:
+                near &= left[:, None] < right[None, :]
+                i, j = np.nonzero(near)
+                bits, before = differ[i, j], np.zeros(len(i), bool)
+                for chain in masks[:start]:
+                    before |= np.all([np.bitwise_count(bits & mask) <= most for mask, most in chain[:in_key]], axis=0)
+                near[i[before], j[before]] = False
             sure = near & (distance <= SURE) if proofs else near
             i, j = np.nonzero(sure)
             while len(i):  # the smallest label spreads over the links
@@ -243,9 +257,12 @@ def _block_links(segments: list[tuple[int, int]], t: int, proofs: list[str]):
                     root[max(x, y)] = min(x, y)
                     pairs.append((i[k], j[k]))
                     taken.add(int(k))
-            other = left[i] < right[j]  # the other direction is met under the other's key
+            other = np.ones(len(i), bool)
             other[list(taken)] = False
-            rest = i[other], j[other]
+            held_by, which = np.unique(label_l[i[other]], return_inverse=True)
+            trees = np.array([find(int(x)) for x in held_by], np.int64)[which]
+            first = np.unique(trees, return_index=True)[1]
+            rest = i[other][first], j[other][first]
         i, j = (np.array(side, int) for side in (zip(*pairs, strict=True) if pairs else ((), ())))
         n_first = edges.shape[1] + len(i)
         i, j = np.concatenate([i, rest[0]]), np.concatenate([j, rest[1]])
@@ -267,8 +284,8 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
     """Edges (a, b) over distinct fingerprints ``fp``; they connect all that link, and all joins are on keys.
 
     ``distinct`` may have columns with proofs besides ``fp``; then the first ones of both sides are given as a_proof and
-    b_proof where a link has over ``SURE`` bits and is to be verified, else nulls; ``later`` marks links that need it only
-    where the others leave their sides apart.
+    b_proof where a link has over ``SURE`` bits and is to be verified, else nulls; ``later`` marks links that tell only that
+    there are more pairs among the fingerprints that links join, to be verified where they stay apart.
 
     Probes carry each allowed change of a key's second segment, so equal keys suffice. A key with up to ``hot_key``
     index rows joins plainly: at most that many pairs per probe. A larger one is cut into blocks of ``block``
@@ -305,10 +322,17 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot_key: int =
     # probes of one key may outnumber its index rows by its neighbours' rows, so they get as many blocks of their own hash
     p_rows = p_rows.select("fp", *proofs, "start", "key", "probe", own.alias("p_block"), F.explode(all_blocks).alias("i_block"))
     both = i_rows.unionByName(p_rows)
-    forest = both.groupBy("key", "start", "i_block", "p_block").applyInArrow(_block_links(segments, max_distance, proofs), "a long, b long" + ", a_proof long, b_proof long, later boolean" * bool(proofs))
+    forest = both.groupBy("key", "start", "i_block", "p_block").applyInArrow(_block_links(segments, max_distance, proofs, run), "a long, b long" + ", a_proof long, b_proof long, later boolean" * bool(proofs))
     return plain.unionByName(forest).distinct()
 
 
+def _sets(hashes: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """(text_hash, own): the distinct shingles of the texts with these hashes (w_hash)."""
+    wanted = materialise(hashes.distinct(), "simhash-wanted")
+    texts = documents.select("doc_id", "text").join(broadcast_if_small(wanted), F.xxhash64("text") == F.col("w_hash"), "left_semi").dropDuplicates(["text"])
+    return materialise(with_shingles(texts, words).select("text_hash", F.array_distinct("hashes").alias("own")).dropDuplicates(["text_hash"]), "simhash-sets")
+
+
 def _verified(links: DataFrame, per_doc: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     """The links that need no verification, and those whose shingle sets are similar enough."""
     pairs = links.where(F.col("a_proof").isNotNull())
@@ -317,9 +341,7 @@ def _verified(links: DataFrame, per_doc: DataFrame, documents: DataFrame, words:
         named = text_of.withColumnsRenamed({c: f"{side}_{c}" for c in text_of.columns})
         pairs = pairs.join(named, (pairs[side] == named[f"{side}_c_fp"]) & (pairs[f"{side}_proof"] == named[f"{side}_c_proof"])).drop(f"{side}_c_fp", f"{side}_c_proof")
     pairs = materialise(pairs.select("a", "b", "a_text_hash", "b_text_hash"), "simhash-pairs")
-    wanted = materialise(pairs.select(F.explode(F.array("a_text_hash", "b_text_hash")).alias("w_hash")).distinct(), "simhash-wanted")
-    texts = documents.select("doc_id", "text").join(broadcast_if_small(wanted), F.xxhash64("text") == F.col("w_hash"), "left_semi").dropDuplicates(["text"])
-    sets = materialise(with_shingles(texts, words).select("text_hash", F.array_distinct("hashes").alias("own")).dropDuplicates(["text_hash"]), "simhash-sets")
+    sets = _sets(pairs.select(F.explode(F.array("a_text_hash", "b_text_hash")).alias("w_hash")), documents, words)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("text_hash").alias(f"{side}_text_hash"), F.col("own").alias(f"{side}_own")), f"{side}_text_hash")
     both = F.size(F.array_intersect("a_own", "b_own"))
@@ -327,6 +349,79 @@ def _verified(links: DataFrame, per_doc: DataFrame, documents: DataFrame, words:
     return links.where(F.col("a_proof").isNull()).select("a", "b").unionByName(pairs.where(similar).select("a", "b"))
 
 
+def _similar(t: int):
+    """For one pair of blocks of a family: a forest of the links between fingerprints of unlike labels."""
+
+    def links(batch: pa.Table) -> pa.Table:
+        rest = batch["rest"].to_numpy(zero_copy_only=False).astype(bool)
+        node, label = batch["fp"].to_numpy(), batch["label"].to_numpy()
+        fp, shown = node.view(np.uint64), [batch[f"proof_{k}"].to_numpy().view(np.uint64) for k in range(1, 1 + PROOFS)]
+        own = batch["own"].combine_chunks()
+        at, flat = own.offsets.to_numpy(), own.values.to_numpy(zero_copy_only=False)
+        size = np.diff(at)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        others, edges = np.flatnonzero(~rest & (size > 0)), []
+        for i in np.flatnonzero(rest & (size > 0)):
+            fits = (np.bitwise_count(fp[others] ^ fp[i]) <= t) & (label[others] != label[i])
+            fits &= np.minimum(size[others], size[i]) / np.maximum(size[others], size[i]) >= SIMILAR
+            near = others[fits]
+            near = near[sum(np.bitwise_count(p[near] ^ p[i]).astype(np.int64) for p in shown) <= PROOF_BITS]
+            if not len(near):
+                continue
+            mine = np.sort(flat[at[i] : at[i + 1]])
+            theirs = np.concatenate([flat[at[j] : at[j + 1]] for j in near])
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.cumsum(size[near]) - size[near])
+            for j in near[both / (size[near] + size[i] - both) >= SIMILAR]:
+                x, y = find(int(label[i])), find(int(label[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    edges.append((int(node[i]), int(node[j])))
+        a, b = zip(*edges, strict=True) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def _family_links(links: DataFrame, labels: DataFrame, per_doc: DataFrame, documents: DataFrame, words: int, t: int) -> DataFrame | None:
+    """(a, b): what the verified links' components (``labels``) leave apart in families that have ``later`` links; None if nothing.
+
+    A family is what all links join, those that failed too: of each pair to be verified both sides are in one.
+    """
+    families = connected_components(links).select("node", F.col("label").alias("family"))
+    members = families.join(broadcast_if_small(labels), "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
+    members = materialise(members, "simhash-members")
+    told = links.where("later").select(F.col("a").alias("node")).distinct().join(members, "node").select("family").distinct()
+    mixed = members.groupBy("family").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").join(told, "family", "left_semi").select("family")
+    mixed = materialise(mixed, "simhash-families")
+    if mixed.isEmpty():
+        return None
+    members = materialise(members.join(broadcast_if_small(mixed), "family"), "simhash-mixed")
+    proofs = [f"proof_{k}" for k in range(1, 1 + PROOFS)]
+    own = per_doc.join(broadcast_if_small(members), per_doc["fp"] == members["node"]).groupBy("fp", *proofs, "family", "label").agg(F.min(F.coalesce("text_hash", F.lit(0))).alias("w_hash"))
+    own = materialise(own, "simhash-family")
+    sets = _sets(own.select("w_hash"), documents, words)
+    placed = materialise(own.join(sets, own["w_hash"] == sets["text_hash"]).drop("w_hash", "text_hash"), "simhash-family-sets")
+    per = placed.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum(F.size("own") + MEMBER).alias("size"))
+    most = F.max(F.struct("n", "label", "size"))
+    blocks = lambda size: F.ceil(size / FAMILY_BLOCK).cast("int")
+    whole = per.groupBy("family").agg(most.alias("most"), F.sum("size").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    whole = whole.select("family", F.col("most.label").alias("main"), blocks(F.col("size") - F.col("most.size")).alias("a_blocks"), blocks(F.col("size")).alias("b_blocks"))
+    placed = placed.join(broadcast_if_small(materialise(whole, "simhash-family-sizes")), "family")
+    order, row = F.xxhash64("fp", *proofs), ["family", "fp", *proofs, "label", "own"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = placed.where(F.col("label") != F.col("main")).select(*row, F.lit(True).alias("rest"), F.pmod(order, F.col("a_blocks")).cast("int").alias("a_block"), each(F.col("b_blocks")).alias("b_block"))
+    b = placed.select(*row, F.lit(False).alias("rest"), F.pmod(order, F.col("b_blocks")).cast("int").alias("b_block"), each(F.col("a_blocks")).alias("a_block"))
+    return a.unionByName(b).groupBy("family", "a_block", "b_block").applyInArrow(_similar(t), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
     """doc_id, text_hash, fp (signed long), root (the component's smallest fingerprint) and component_id, one row per input row."""
     per_doc = materialise(fingerprints(documents, words, max_distance > SURE), "simhash")
@@ -334,16 +429,11 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4)
     distinct = per_doc.drop("doc_id", "text_hash").distinct() if max_distance > SURE else classes.select("fp")
     links = materialise(fingerprint_links(distinct, max_distance), "simhash-links")
     if max_distance > SURE:
-        later = links.where("later")
-        links = materialise(_verified(links.where("not later"), per_doc, documents, words), "simhash-verified")
-        if not later.isEmpty():
-            labels = connected_components(links)
-            for side in ("a", "b"):
-                named = broadcast_if_small(labels.withColumnsRenamed({"node": f"{side}_node", "label": f"{side}_label"}))
-                later = later.join(named, F.col(side) == F.col(f"{side}_node"), "left")
-            apart = F.coalesce("a_label", "a") != F.coalesce("b_label", "b")
-            later = materialise(later.where(apart).select("a", "b", "a_proof", "b_proof"), "simhash-later")
-            links = materialise(links.unionByName(_verified(later, per_doc, documents, words)), "simhash-all")
+        found = links
+        links = materialise(_verified(found.where("not later"), per_doc, documents, words), "simhash-verified")
+        if not found.where("later").isEmpty():
+            more = _family_links(found, connected_components(links), per_doc, documents, words, max_distance)
+            links = links if more is None else materialise(links.unionByName(more), "simhash-all")
     labels = connected_components(links)  # node, label: only fingerprints with a link
     # a component of many fingerprints meets its root in parts, so that it is not one task's
     rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"), F.col("label").isNotNull().alias("linked"))
