@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,25 @@ def test_ordered_state_sends_rows_of_a_batch_at_once():
     (out,) = fold.handleExpiredTimer((7,), Watermark(), None)
     assert out.values.tolist() == [[7, 1, ""], [7, 3, "b=3.00"]]  # of one time and id the last counts
     assert [r[:2] for r in handle.waiting.rows] == [(90_000, 4)] and handle.timers == [2, 91] and dict(handle.state) == {("b",): (3.0,), ("a",): (1.0,)}
+
+
+def test_versions_of_frequent_keys_merge_alike(spark, monkeypatch):
+    rng = random.Random(4)
+
+    def value(depth):
+        return {rng.choice("abc"): value(depth - 1) for _ in range(2)} if depth and rng.random() < 0.6 else rng.choice([1, "s", None, [2], {}])
+
+    rows = [(k, o, json.dumps({"r": value(3), rng.choice("xy"): value(2)})) for k in range(6) for o in range(3 + 20 * (k % 2))]
+    want = {}
+    for k, _, text in rows:
+        want[k] = merged(want.get(k, {}), json.loads(text))
+    df = spark.createDataFrame(rows, "k long, o long, t string").repartition(3)
+    for hot in (10, 1_000):
+        monkeypatch.setattr(json_merge, "HOT", hot)
+        assert {r["k"]: json.loads(r["merged"]) for r in json_merge.deep_merge(df, "k", "o", "t").collect()} == want
+
+
+def test_only_paths_of_frequent_keys_are_shuffled(spark):
+    df = spark.createDataFrame([(1, 0, '{"a":1}')], "k long, o long, t string")
+    plan = json_merge.deep_merge(df, "k", "o", "t")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(k#[^)]*path#", plan)) == 1

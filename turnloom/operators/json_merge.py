@@ -1,9 +1,11 @@
 """Recursive merge of JSON documents by paths, without gathering the versions of a key.
 
 Documents become rows (key, path, order, text): a scalar, an array or a null is a leaf with its JSON text, an object is a row
-without text at its path and then its members. Of a path only the latest leaf and the latest object count, so versions
-collapse before any shuffle. A leaf ends what was at its path and below before it; an object at a leaf's path ends the leaf.
-What is left is put in order of paths and written out once.
+without text at its path and then its members. Of a path only the latest leaf and the latest object count. A leaf ends what was
+at its path and below before it; an object at a leaf's path ends the leaf. What is left is put in order of paths and written out.
+
+Documents are dealt by their keys, once, and opened where they come to; nothing is shuffled after that. Keys with more than ``HOT``
+versions are opened where they are read instead, so that their versions collapse in all tasks before their paths are dealt.
 
 Cases. A document that is null or unreadable counts as an empty object. Equal orders within a key go by the text, and an
 object ends a leaf of the same order. Objects nested more than ``depth`` deep are an error. Members are in order of their
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 #: Levels of objects in objects.
 DEPTH = 8
 
+#: Versions of a key that one task opens.
+HOT = 20_000
+
 
 def paths(df: DataFrame, key: str, order: str, document: str, depth: int = DEPTH) -> DataFrame:
     """(key, at, path, text): every value of every document; ``text`` is null for objects."""
@@ -37,19 +42,27 @@ def paths(df: DataFrame, key: str, order: str, document: str, depth: int = DEPTH
     return rows.select(key, "at", "s.path", text.alias("text"))
 
 
-def surviving(rows: DataFrame, key: str) -> DataFrame:
-    """(key, path, text) of the merged document: per path its last leaf, or null for an object."""
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    """(key, path, leaf, object_at): per path its latest leaf (at, text) and the time of its latest object."""
     leaf = F.max(F.when(F.col("text").isNotNull(), F.struct("at", "text")))
-    per = rows.groupBy(key, "path").agg(leaf.alias("leaf"), F.max(F.when(F.col("text").isNull(), F.col("at"))).alias("object_at"))
-    ends = per.where(F.col("leaf").isNotNull()).select(F.col(key).alias("e_key"), F.col("path").alias("e_path"), F.col("leaf.at").alias("ended"))
-    above = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i - 1))
-    prefixes = per.where(F.size("path") > 0).select(key, "path", F.explode(above).alias("prefix"))
-    killed = prefixes.join(ends, (F.col(key) == F.col("e_key")) & (F.col("prefix") == F.col("e_path"))).groupBy(F.col(key).alias("k_key"), F.col("path").alias("k_path")).agg(F.max("ended").alias("killed"))
-    met = per.join(killed, (F.col(key) == F.col("k_key")) & (F.col("path") == F.col("k_path")), "left")
-    outlives = lambda at: F.col("killed").isNull() | (at > F.col("killed"))
-    is_leaf = F.col("leaf").isNotNull() & (F.col("object_at").isNull() | (F.col("leaf.at") > F.col("object_at"))) & outlives(F.col("leaf.at"))
-    is_object = F.col("object_at").isNotNull() & (F.col("leaf").isNull() | (F.col("object_at") >= F.col("leaf.at"))) & outlives(F.col("object_at"))
-    return met.where(is_leaf | is_object).select(key, "path", F.when(is_leaf, F.col("leaf.text")).alias("text"))
+    return rows.groupBy(key, "path").agg(leaf.alias("leaf"), F.max(F.when(F.col("text").isNull(), F.col("at"))).alias("object_at"))
+
+
+def surviving(nodes: Column) -> Column:
+    """(path, text) nodes of the merged document, the text null for objects, of (path, leaf, object_at) nodes in order of paths."""
+    below = lambda path, top: (F.size(path) > F.size(top)) & (F.slice(path, F.lit(1), F.size(top)) == top)
+    # what is below a path follows it at once
+    ends = F.filter(nodes, lambda x, i: x["leaf"].isNotNull() & F.coalesce(below(F.get(nodes, i + 1)["path"], x["path"]), F.lit(False)))
+
+    def kept(x: Column) -> Column:
+        killed = F.array_max(F.transform(F.filter(ends, lambda y: below(x["path"], y["path"])), lambda y: y["leaf"]["at"]))
+        outlives = lambda at: killed.isNull() | (at > killed)
+        leaf, at, object_at = x["leaf"], x["leaf"]["at"], x["object_at"]
+        is_leaf = leaf.isNotNull() & (object_at.isNull() | (at > object_at)) & outlives(at)
+        is_object = object_at.isNotNull() & (leaf.isNull() | (object_at >= at)) & outlives(object_at)
+        return F.when(is_leaf, F.struct(x["path"].alias("path"), leaf["text"].alias("text"))).when(is_object, F.struct(x["path"].alias("path"), F.lit(None).cast("string").alias("text")))
+
+    return F.filter(F.transform(nodes, kept), lambda x: x.isNotNull())
 
 
 def written_out(nodes: Column) -> Column:
@@ -69,6 +82,13 @@ def written_out(nodes: Column) -> Column:
 
 def deep_merge(df: DataFrame, key: str, order: str, document: str, depth: int = DEPTH) -> DataFrame:
     """(key, merged): objects merge recursively in the order given; later scalars, arrays and nulls replace."""
-    left = surviving(paths(df.where(F.col(key).isNotNull()), key, order, document, depth), key)
-    gathered = left.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("nodes"))
-    return gathered.select(key, written_out(F.col("nodes")).alias("merged"))
+    known = df.where(F.col(key).isNotNull()).select(key, order, document)
+    hot = F.broadcast(known.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key))
+    merged = []
+    for some in (known.join(hot, key, "left_anti").repartition(key), known.join(hot, key, "left_semi")):
+        per = latest(paths(some, key, order, document, depth), key)
+        # in steps of their own: the optimizer must not write the sorted list into every lambda
+        sorted_ = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("path", "leaf", "object_at"))).alias("versions"))
+        left = sorted_.select(key, F.explode(F.array(surviving(F.col("versions")))).alias("nodes"))
+        merged.append(left.select(key, written_out(F.col("nodes")).alias("merged")))
+    return merged[0].unionByName(merged[1])
