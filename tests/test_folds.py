@@ -174,3 +174,40 @@ def test_only_paths_of_frequent_keys_are_shuffled(spark):
     df = spark.createDataFrame([(1, 0, '{"a":1}')], "k long, o long, t string")
     plan = json_merge.deep_merge(df, "k", "o", "t")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(k#[^)]*path#", plan)) == 1
+
+
+def test_a_batch_of_chunks_is_few_calls_of_the_state_store():
+    import pandas as pd
+
+    calls = []
+
+    class Held:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __getattr__(self, name):
+            def call(given=None):
+                calls.append(name)
+                if name == "exists":
+                    return bool(self.rows)
+                if name == "get":
+                    return self.rows[0] if len(self.rows) == 1 and len(self.rows[0]) == 4 else iter(list(self.rows))
+                self.rows = {"appendList": lambda: self.rows + given, "put": lambda: given, "update": lambda: [given], "clear": list}[name]()
+
+            return call
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: Held([])
+        getMapState = lambda self, name, key, value: None
+
+    framer = stateful.LineFramer()
+    framer.init(Handle())
+    text = "".join(f"line {k} é\n" for k in range(90)).encode()
+    chunks = [(k, text[k * 10 : k * 10 + 10], k * 10 + 10 >= len(text)) for k in range(-(-len(text) // 10))]
+    random.Random(2).shuffle(chunks)
+    rows = []
+    for part in (chunks[:40], chunks[40:80], chunks[80:]):
+        batch = pd.DataFrame(part, columns=["at", "data", "last"])
+        rows += [row for out in framer.handleInputRows(("s",), iter([batch[:9], batch[9:]]), None) for row in out.itertuples(index=False)]
+    assert [(r.session, r.line_no, r.line) for r in rows] == [("s", k, f"line {k} é") for k in range(90)]
+    assert len(calls) <= 3 * 5
