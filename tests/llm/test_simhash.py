@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from cases import AWKWARD, awkward, prose
 
-from turnloom.llm import simhash
+from turnloom.llm import components, simhash
 from turnloom.llm.components import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -207,3 +207,39 @@ def test_families_are_compared_in_blocks(spark, monkeypatch):
     want = classes(edges, range(60))
     assert 3 < len(set(want.values())) < 57
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 12).collect()} == want
+
+
+def test_later_links_walk_no_component_again(spark, monkeypatch):
+    """A chain of eight that links surely, and texts beside it that link or don't: the star steps see the chain once."""
+    chain = [(1 << 6 * k) - 1 for k in range(8)]
+    fps = chain + [signed(chain[0] ^ 0xFF << 50), signed(chain[0] ^ 0x1FF << 50)]
+    texts = [f"t{k}" for k in range(len(fps))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    per_doc = spark.createDataFrame([(k, fp, 0, 0) for k, fp in enumerate(fps)], "doc_id long, fp long, proof_1 long, proof_2 long")
+    per_doc = per_doc.join(docs.selectExpr("doc_id", "xxhash64(text) as text_hash"), "doc_id").select("doc_id", "text_hash", "fp", "proof_1", "proof_2")
+    sets = spark.createDataFrame([(t, [1, 2, 3, 4, 5] if k in (0, 9) else [10 * k]) for k, t in enumerate(texts)], "text string, hashes array<long>").selectExpr("xxhash64(text) as text_hash", "hashes")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: per_doc)
+    monkeypatch.setattr(simhash, "with_shingles", lambda texts, words: texts.selectExpr("doc_id", "xxhash64(text) as text_hash").join(sets, "text_hash"))
+    links = [(a, b, None, None, False) for a, b in zip(chain, chain[1:], strict=False)]
+    links += [(fps[0], fps[8], 0, 0, False), (fps[0], fps[9], 0, 0, True), (fps[1], fps[8], 0, 0, True), (fps[8], fps[9], None, None, False)]
+    links = spark.createDataFrame(links, "a long, b long, a_proof long, b_proof long, later boolean")
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *args: links)
+    walked = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "connected_components", lambda edges, walk=connected_components: walked.append(edges.count()) or walk(edges))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 12).collect()}
+    assert got == dict.fromkeys(range(10), 0)
+    assert walked == [8, 1, 1]
+
+
+def test_components_extend_by_edges_between_them(spark):
+    rng = random.Random(12)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    more = [(rng.randrange(80), rng.randrange(80)) for _ in range(25)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    labels = connected_components(frame(first))
+    got = {r["node"]: r["label"] for r in components.extended(labels, frame(more)).collect()}
+    want = classes(first + more, range(80))
+    assert len(set(want.values())) < 60 and {n: got.get(n, n) for n in range(80)} == want
+    apart = [components.contracted(frame(more), labels, few).collect() for few in (0, 1000)]
+    assert {*apart[0]} == {*apart[1]} and all(r["a"] != r["b"] for r in apart[0])

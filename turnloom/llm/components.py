@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, written
+from .common import broadcast_if_small, discard, materialise, written
 
 #: Star steps converge in about log2 of the nodes squared; the bound only guards against an endless loop.
 MAX_ROUNDS = 60
@@ -62,3 +62,30 @@ def connected_components(edges: DataFrame, broadcast_edges: int = BROADCAST_EDGE
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def contracted(edges: DataFrame, labels: DataFrame, broadcast_nodes: int = BROADCAST_EDGES) -> DataFrame:
+    """The edges (a, b) as edges of the components in ``labels`` (node, label, written); those inside one go.
+
+    A node without a label is a component of its own. Edges of one node meet its label in parts, as in the star steps.
+    """
+    few = labels.count() <= broadcast_nodes
+    parts = F.array(F.lit(0)) if few else F.sequence(F.lit(0), F.lit(SALTS - 1))
+    known = labels.select(F.col("node").alias("u"), F.col("label").alias("m"), F.explode(parts).alias("part"))
+    now = edges.select("a", "b")
+    for side, other in (("a", "b"), ("b", "a")):
+        if few:
+            met = now.join(F.broadcast(known), now[side] == known["u"], "left")
+        else:
+            met = now.join(known, (now[side] == known["u"]) & (F.pmod(F.xxhash64(other), F.lit(SALTS)) == known["part"]), "left")
+        now = met.select(F.coalesce("m", side).alias(side), other)
+    return materialise(now.where(F.col("a") != F.col("b")).distinct(), "contracted")
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of the components that ``edges`` make with those of ``labels`` (node, label, written)."""
+    over = connected_components(contracted(edges, labels)).select(F.col("node").alias("u"), F.col("label").alias("m"))
+    over = materialise(over, "extended")
+    lone = over.join(labels.select("label").distinct(), F.col("u") == F.col("label"), "left_anti").select(F.col("u").alias("node"), F.col("m").alias("label"))
+    known = labels.join(broadcast_if_small(over), F.col("label") == F.col("u"), "left").select("node", F.coalesce("m", "label").alias("label"))
+    return known.unionByName(lone)

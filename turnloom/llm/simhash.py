@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, materialise, small_arrow_batches
-from .components import SALTS, connected_components
+from .components import SALTS, connected_components, contracted, extended
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -393,17 +393,19 @@ def _similar(t: int):
 def _family_links(links: DataFrame, labels: DataFrame, per_doc: DataFrame, documents: DataFrame, words: int, t: int) -> DataFrame | None:
     """(a, b): what the verified links' components (``labels``) leave apart in families that have ``later`` links; None if nothing.
 
-    A family is what all links join, those that failed too: of each pair to be verified both sides are in one.
+    A family is what all links join, those that failed too: of each pair to be verified both sides are in one. As labels stand for
+    their components, only links between these are walked once more.
     """
-    families = connected_components(links).select("node", F.col("label").alias("family"))
-    members = families.join(broadcast_if_small(labels), "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
-    members = materialise(members, "simhash-members")
-    told = links.where("later").select(F.col("a").alias("node")).distinct().join(members, "node").select("family").distinct()
-    mixed = members.groupBy("family").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").join(told, "family", "left_semi").select("family")
-    mixed = materialise(mixed, "simhash-families")
+    families = connected_components(contracted(links, labels)).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    families = materialise(families, "simhash-families")
+    told = links.where("later").select(F.col("a").alias("node")).distinct().join(broadcast_if_small(labels), "node", "left").select(F.coalesce("label", "node").alias("label")).distinct()
+    told = families.join(told, "label", "left_semi").select("family").distinct()
+    mixed = materialise(families.join(told, "family", "left_semi"), "simhash-told")
     if mixed.isEmpty():
         return None
-    members = materialise(members.join(broadcast_if_small(mixed), "family"), "simhash-mixed")
+    lone = mixed.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), "family", "label")
+    members = labels.join(broadcast_if_small(mixed), "label").select("node", "family", "label").unionByName(lone)
+    members = materialise(members, "simhash-mixed")
     proofs = [f"proof_{k}" for k in range(1, 1 + PROOFS)]
     own = per_doc.join(broadcast_if_small(members), per_doc["fp"] == members["node"]).groupBy("fp", *proofs, "family", "label").agg(F.min(F.coalesce("text_hash", F.lit(0))).alias("w_hash"))
     own = materialise(own, "simhash-family")
@@ -428,13 +430,14 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = 4)
     classes = materialise(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     distinct = per_doc.drop("doc_id", "text_hash").distinct() if max_distance > SURE else classes.select("fp")
     links = materialise(fingerprint_links(distinct, max_distance), "simhash-links")
+    found = links
     if max_distance > SURE:
-        found = links
         links = materialise(_verified(found.where("not later"), per_doc, documents, words), "simhash-verified")
-        if not found.where("later").isEmpty():
-            more = _family_links(found, connected_components(links), per_doc, documents, words, max_distance)
-            links = links if more is None else materialise(links.unionByName(more), "simhash-all")
     labels = connected_components(links)  # node, label: only fingerprints with a link
+    if max_distance > SURE and not found.where("later").isEmpty():
+        labels = materialise(labels, "simhash-labels")
+        more = _family_links(found, labels, per_doc, documents, words, max_distance)
+        labels = labels if more is None else extended(labels, more)
     # a component of many fingerprints meets its root in parts, so that it is not one task's
     rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"), F.col("label").isNotNull().alias("linked"))
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.bool_or("linked").alias("linked"))
