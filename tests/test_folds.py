@@ -211,3 +211,27 @@ def test_a_batch_of_chunks_is_few_calls_of_the_state_store():
         rows += [row for out in framer.handleInputRows(("s",), iter([batch[:9], batch[9:]]), None) for row in out.itertuples(index=False)]
     assert [(r.session, r.line_no, r.line) for r in rows] == [("s", k, f"line {k} é") for k in range(90)]
     assert len(calls) <= 3 * 5
+
+
+def test_a_join_of_streams_keeps_one_store_a_partition(spark, tmp_path):
+    phases = spark.sql("select id as call_id, cast(null as long) as parent_id, if(k = 0, 'm_start', 'm_end') as phase, timestamp'2024-01-01' + make_interval(0,0,0,0,0,k) as ts, false as failed from range(20) lateral view explode(array(0, 1)) as k")
+    phases.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with stateful.state_store(spark):
+        calls = live.calls(live.files(spark, str(tmp_path / "in"), phases.schema))
+        run = calls.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert run.lastProgress["stateOperators"][0]["numStateStoreInstances"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, live.calls(phases).collect()))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_an_input_of_a_stream_is_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    from turnloom.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(stream_queries, "BATCHES", 1)
+    rows = spark.range(200)
+    stream_queries._as_stream(spark, rows, "rows", spark.range(-1, 0))
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and len(list((tmp_path / "rows" / "a").glob("*.parquet"))) == len(list((tmp_path / "rows" / "z0").glob("*.parquet"))) == cores

@@ -9,17 +9,20 @@ from ..streaming import framing, live, stateful
 from .event_queries import _events, _folder
 from .registry import query
 
-#: Files that an input is dealt into, each a batch of its stream.
+#: Batches that an input is dealt into, in as many files each as let all cores write them.
 BATCHES = 3
 
 
 def _as_stream(spark, df, name, *last):
-    """The rows as a stream of files in an order of their own; the rows of ``last``, if any, come when all others have."""
-    folder = _folder(spark, name)
-    df.repartition(BATCHES, F.xxhash64(*df.columns)).write.parquet(f"{folder}/a")
-    reader = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1")
+    """The rows as a stream of files in an order of their own; the rows of ``last``, if any, come when all others have.
+
+    A row of ``last`` comes once in each file of its batch.
+    """
+    folder, files = _folder(spark, name), max(1, spark.sparkContext.defaultParallelism // BATCHES)
+    df.repartition(BATCHES * files, F.xxhash64(*df.columns)).write.parquet(f"{folder}/a")
+    reader = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files))
     for k, row in enumerate(last):
-        row.coalesce(1).write.parquet(f"{folder}/z{k}")
+        spark.range(0, files, 1, files).toDF("_file").crossJoin(F.broadcast(row)).select(*df.columns).write.parquet(f"{folder}/z{k}")
     return reader.parquet(folder)
 
 
