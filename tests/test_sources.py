@@ -85,6 +85,15 @@ def test_streams(spark, tmp_path):
     assert pairs.count() == 30
 
 
+def test_a_drained_stream_without_a_target_stays_beside_its_checkpoint(spark, tmp_path):
+    src = spark.range(3).selectExpr("id as user_id", "timestamp'2024-01-01' as ts", "1.0d as v")
+    src.write.parquet(str(tmp_path / "in"))
+    for mode in ("complete", "append"):
+        got = live.drained(live.files(spark, str(tmp_path / "in"), src.schema) if mode == "append" else live.windowed(live.files(spark, str(tmp_path / "in"), src.schema), "ts", [], "v"), "", str(tmp_path / mode), mode)
+        assert got.count() == (3 if mode == "append" else 1)
+        assert all(f.startswith((tmp_path / f"{mode}-rows").as_uri()) for f in got.inputFiles())
+
+
 def test_typed_tables_of_frames_with_missing_and_odd_fields(spark):
     from turnloom.operators import frames
 

@@ -68,9 +68,10 @@ def latest_by_batch(stream: DataFrame, keys: list[str], order: list[str], target
 def drained(stream: DataFrame, target: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there; its result is a table in the target folder, whatever its size.
 
-    In the modes other than append each batch is written in turn to one of two folders, and the last is read.
+    In the modes other than append each batch is written in turn to one of two folders, and the last is read. Without a target
+    the table lies beside the checkpoint.
     """
-    spark = stream.sparkSession
+    spark, target = stream.sparkSession, target or f"{checkpoint}-rows"
     if mode == "append":
         stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(target)
