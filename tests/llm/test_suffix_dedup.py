@@ -49,6 +49,24 @@ def test_equals_brute_force(spark, group):
     assert [got[i] for i in range(len(texts))] == brute(texts, 40)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    """The query's own length and gram: what decides is bytes, not words, and texts without a repeat lose nothing."""
+    rng = random.Random(8)
+    word = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    prose = lambda n, letters="abcdefgh", low=2, high=9: " ".join(word(letters, low, high) for _ in range(n))
+    planted = [" ".join(word("abcdefgh", w, w) for _ in range(n)) for n, w in ((51, 5), (57, 6), (58, 6), (66, 5), (67, 5), (120, 4))]
+    planted += [prose(51, "éß語", 3, 3), " ".join(["é"] * 60), prose(60, "x", 6, 6)[:399], prose(60, "y", 6, 6)[:400]]
+    texts = [prose(40) + before + p + after + prose(30) for p in planted for before, after in ("14", "25", "36")]
+    clean = [prose(n) for n in (1, 51, 60, 200, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(docs, keep_bytes=False).collect()}
+    assert [got[i] for i in range(len(got))] == brute(texts + clean, 400)
+    size = [len(p.encode()) for p in planted for _ in range(3)]
+    assert all(len(p.split()) > 50 for p in planted) and {399, 400} <= set(size)
+    assert [got[i][1] > 0 for i in range(len(texts))] == [s >= 400 for s in size]
+    assert all(got[i][1] == 0 for i in range(len(texts), len(got)))
+
+
 def test_kept_bytes_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a" * 50), (2, "b" * 3)], "doc_id long, text string")
     rows = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.deduplicate(docs, 20, 8).collect()}
